@@ -31,7 +31,9 @@ RANK_SALTS = 32                # first ranking stage: slices per query
 _BLOCK_CELLS = 2_000_000       # scores held at once inside a task
 _FLUSH_ROWS = 100_000          # survivors buffered inside a task
 
-FILTER_FIELDS = ("f_camera_id", "f_object_type", "f_category", "f_weapons_filter", "f_weapon_classes")
+# Optional per-query payload filters: any-of or equality on the field behind "f_", and the two weapons columns.
+FIELD_FILTERS = ("f_camera_id", "f_object_type", "f_category", "f_external_id")
+FILTER_FIELDS = (*FIELD_FILTERS, "f_weapons_filter", "f_weapon_classes")
 
 
 # ---------------------------------------------------------------------------
@@ -96,9 +98,11 @@ class _Queries:
             if key is not None:
                 groups.setdefault(key, []).append(i)
         filters = None
-        if FILTER_FIELDS[0] in names:
+        asked = [f for f in FILTER_FIELDS if f in names]
+        if asked:
             listed = lambda v: tuple(v) if isinstance(v, list) else v
-            filters = [tuple(listed(v) for v in row) for row in zip(*(table.column(f).to_pylist() for f in FILTER_FIELDS))]
+            rows = zip(*(table.column(f).to_pylist() for f in asked))
+            filters = [tuple((f, listed(v)) for f, v in zip(asked, row) if v is not None) for row in rows]
         return cls(table.column("query_id").combine_chunks(), matrix, limits, k_each,
                    {g: np.array(v) for g, v in groups.items()}, filters)
 
@@ -117,19 +121,21 @@ def _any_of(column, wanted) -> np.ndarray:
 
 def _filter_mask(table, spec) -> np.ndarray:
     """Rows of a point batch that one query's metadata filter lets through. A missing field never matches."""
-    camera, object_type, category, mode, classes = spec
+    asked = dict(spec)
     mask = np.ones(table.num_rows, dtype=bool)
-    for field, value in (("camera_id", camera), ("object_type", object_type), ("category", category)):
-        if value is None:
+    for name in FIELD_FILTERS:
+        if name not in asked:
             continue
+        field, value = name[2:], asked[name]
         if field not in table.schema.names:
             return np.zeros(table.num_rows, dtype=bool)
         mask &= _any_of(table.column(field), value if isinstance(value, tuple) else (value,))
     flag = lambda name, want: pc.fill_null(pc.equal(table.column(name), want), False).to_numpy(zero_copy_only=False)
+    mode = asked.get("f_weapons_filter")
     if mode == "only":
         mask &= flag("has_weapon", True)
-        if classes:
-            mask &= _any_of(table.column("weapon_classes"), classes)
+        if asked.get("f_weapon_classes"):
+            mask &= _any_of(table.column("weapon_classes"), asked["f_weapon_classes"])
     elif mode == "exclude":
         mask &= flag("has_weapon", False)
     elif mode == "analyzed_clean":
@@ -284,7 +290,9 @@ def score_join(
     payload = list(dict.fromkeys(["point_id", *payload]))
     extras = [f for f in ("q_threshold", "q_limit", *FILTER_FIELDS) if f in queries.columns]
     queries = queries.select("query_id", "vector", *[f"q_{s}" for s in scope], *extras)
-    filters = ("camera_id", "object_type", "category", "has_weapon", "weapon_analyzed", "weapon_classes") if FILTER_FIELDS[0] in extras else ()
+    filters = [f[2:] for f in FIELD_FILTERS if f in extras]
+    if "f_weapons_filter" in extras:
+        filters += ["has_weapon", "weapon_analyzed", "weapon_classes"]
     needed = list(dict.fromkeys([*payload, *scope, *[c for c in filters if c in points.columns]]))
     points = points.select("vector", *needed)
     schema = T.StructType(
@@ -399,35 +407,19 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, **options) -> Data
 def index_search(queries: DataFrame, index: DataFrame, k: int, threshold: float, predicate: Column | None = None, **physical) -> DataFrame:
     """Tenant-scoped search of the on-demand index.
 
-    `queries` carries q_user_id and, optionally, q_external_ids (any-of) and q_batch_id. Each asked external
-    id or batch becomes part of the equality scope; a query with none of them sees the whole tenant.
+    `queries` carries q_user_id and, optionally, q_batch_id (then every query is held to its batch) and
+    q_external_ids (any-of; a null or empty list sees the whole tenant).
     """
     if predicate is not None:
         index = index.where(predicate)
-    index = index.withColumn("user_id", F.col("user_id").cast("string"))
-    queries = queries.withColumn("q_user_id", F.col("q_user_id").cast("string"))
+    scope = ["user_id", *(["batch_id"] if "q_batch_id" in queries.columns else [])]
+    index = index.withColumns({c: F.col(c).cast("string") for c in ("user_id", "external_id", "batch_id")})
+    queries = queries.withColumns({f"q_{s}": F.col(f"q_{s}").cast("string") for s in scope})
+    if "q_external_ids" in queries.columns:
+        ids = F.transform("q_external_ids", lambda e: e.cast("string"))
+        queries = queries.withColumn("f_external_id", F.when(F.size(ids) > 0, ids))
     payload = ("user_id", "external_id", "batch_id", "item_index", "item_ref", "source_url", "model_version")
-    has_ext, has_batch = "q_external_ids" in queries.columns, "q_batch_id" in queries.columns
-    asked_ext = F.coalesce(F.size("q_external_ids"), F.lit(0)) > 0 if has_ext else F.lit(False)
-    asked_batch = F.length("q_batch_id") > 0 if has_batch else F.lit(False)
-    asked_batch = F.coalesce(asked_batch, F.lit(False))
-    found = None
-    for use_ext in ([False, True] if has_ext else [False]):
-        for use_batch in ([False, True] if has_batch else [False]):
-            part = queries.where((asked_ext == F.lit(use_ext)) & (asked_batch == F.lit(use_batch)))
-            scope = ["user_id"]
-            if use_ext:
-                part = part.withColumn("q_external_id", F.explode(F.array_distinct(F.transform("q_external_ids", lambda e: e.cast("string")))))
-                scope.append("external_id")
-            if use_batch:
-                part = part.withColumn("q_batch_id", F.col("q_batch_id").cast("string"))
-                scope.append("batch_id")
-            hits = score_join(part, index, threshold=threshold, k=k, scope=scope, payload=payload, **physical)
-            found = hits if found is None else found.unionByName(hits)
-    if "q_limit" in queries.columns:
-        limits = queries.select("query_id", F.coalesce("q_limit", F.lit(k)).alias("q_limit"))
-        return best_per_query(found.join(limits, "query_id"), F.col("q_limit")).drop("q_limit")
-    return best_per_query(found, k)
+    return similarity_search(queries, index, k, threshold, scope=scope, payload=payload, **physical)
 
 
 # ---------------------------------------------------------------------------

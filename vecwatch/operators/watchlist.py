@@ -131,16 +131,14 @@ def cross_reference(
     if batches is not None:
         probes = probes.join(batches.select(F.col("id").alias("landed_batch_id"), "user_id"), "user_id")
         probes = probes.withColumn("query_id", F.concat_ws("|", "embedding_id", "landed_batch_id"))
-        scoped = F.col("landed_batch_id")
     else:
         probes = probes.withColumn("query_id", F.col("embedding_id"))
-        scoped = F.lit(batch_id).cast("string")
-    queries = probes.select(
-        "query_id", "vector", F.col("user_id").alias("q_user_id"), F.col("threshold_used").alias("q_threshold"), scoped.alias("q_batch_id"))
+    queries = probes.select("query_id", "vector", F.col("user_id").alias("q_user_id"), F.col("threshold_used").alias("q_threshold"),
+                            *([F.col("landed_batch_id").alias("q_batch_id")] if batches is not None else []))
     if external_ids:
-        queries = queries.withColumn("q_external_ids", F.array(*[F.lit(str(e)) for e in external_ids]))
-    if batches is None and not batch_id:
-        queries = queries.drop("q_batch_id")
+        index = index.where(F.col("external_id").cast("string").isin(*[str(e) for e in external_ids]))
+    if batch_id:
+        index = index.where(F.col("batch_id").cast("string") == F.lit(str(batch_id)))
     hits = S.index_search(queries, index, limit, default if threshold is None else threshold, **physical)
     found = P.same_model(hits.drop("user_id").join(probes.drop("vector"), "query_id"))
     best = best_per_point(found)
