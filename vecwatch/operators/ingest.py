@@ -45,9 +45,9 @@ def frames(results: DataFrame, now: Column) -> DataFrame:
 
     Detections are null when the evidence was not analysed and [] when the frame is clean.
     """
-    flat = (results if "frames" in results.columns else with_frames(results)).select(
-        "evidence_id", "camera_id", "user_id", "device_id", "app_id", "infraction_code",
-        text.entities_to_category(F.col("entities"))["ids"].alias("category"),
+    shaped = results if "frames" in results.columns else with_frames(results)
+    flat = shaped.withColumn("_category", text.entities_to_category(F.col("entities"))).select(
+        "evidence_id", "camera_id", "user_id", "device_id", "app_id", "infraction_code", F.col("_category.ids").alias("category"),
         F.col("weapon_analysis").isNotNull().alias("weapon_analyzed"), F.explode("frames").alias("f")).select("*", "f.*").drop("f")
     return flat.select(
         text.natural_id("frame", F.col("evidence_id"), F.col("pos")).alias("point_id"), "vector",

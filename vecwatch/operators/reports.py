@@ -145,7 +145,7 @@ def asof_latency(
         # every row learns how many inputs the stream holds up to it; equal ids count the input first
         both = in_rows.select(*columns).unionByName(out_rows.select(*columns))
         per = both.withColumn("_bucket", bucket)
-        sizes = per.groupBy("_bucket").agg(F.count_if("side = 0").alias("_n"))
+        sizes = per.groupBy("_bucket").agg(F.count_if(F.col("side") == 0).alias("_n"))
         starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
         inside = F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(
             W.partitionBy("_bucket").orderBy("ms", "sub", "side").rowsBetween(W.unboundedPreceding, 0))

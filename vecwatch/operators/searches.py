@@ -204,6 +204,21 @@ def recalc_candidates(searches: DataFrame, search_type: str, now: Column, hours_
     return ordered if limit is None else ordered.limit(limit)
 
 
+def recalc_due(searches: DataFrame, now: Column, hours_old: int = C.RECALC_HOURS_OLD, limit: int | None = C.RECALC_LIMIT) -> DataFrame:
+    """Candidates of both search types, each with its own limit."""
+    evidence, index = (recalc_candidates(searches, t, now, hours_old, limit) for t in (C.SEARCH_TYPE_EVIDENCE, C.SEARCH_TYPE_INDEX))
+    return evidence.unionByName(index)
+
+
+def with_totals(searches: DataFrame, matches: DataFrame) -> DataFrame:
+    """Totals and outcome of finished searches, taken from the stored match rows; others stay as they are."""
+    outcome = search_outcome(searches.select("id"), matches).select(
+        F.col("search_request_id").alias("id"), F.col("total_matches").alias("_n"), F.col("similarity_status").alias("_o"))
+    done = F.col("status") == C.SEARCH_COMPLETED
+    return searches.join(outcome, "id").withColumn("total_matches", F.when(done, F.col("_n")).otherwise(F.col("total_matches"))).withColumn(
+        "similarity_status", F.when(done, F.col("_o")).otherwise(F.col("similarity_status"))).select(*searches.columns)
+
+
 def recalculate(
     searches: DataFrame, query_vectors: DataFrame, points: DataFrame, index: DataFrame, old_matches: DataFrame, now: Column, *,
     hours_old: int = C.RECALC_HOURS_OLD, limit: int | None = C.RECALC_LIMIT, **physical,
@@ -212,8 +227,7 @@ def recalculate(
 
     A candidate without a stored vector is skipped and listed in `skipped`.
     """
-    both = [recalc_candidates(searches, t, now, hours_old, limit) for t in (C.SEARCH_TYPE_EVIDENCE, C.SEARCH_TYPE_INDEX)]
-    due = both[0].unionByName(both[1])
+    due = recalc_due(searches, now, hours_old, limit)
     stored = query_vectors.select(F.col("point_id").alias("qdrant_query_point_id"), "vector")
     ready = due.join(stored, "qdrant_query_point_id")
     skipped = due.join(stored.select("qdrant_query_point_id"), "qdrant_query_point_id", "left_anti")

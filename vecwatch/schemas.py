@@ -79,6 +79,10 @@ TABLES = {
     "evidence_points": (EVIDENCE_POINTS, ("point_id",)),
     "index_points": (INDEX_POINTS, ("point_id",)),
     "query_vectors": (QUERY_VECTORS, ("point_id",)),
+    "match_sets": (struct(search_request_id=STR, updated_at=TS), ("search_request_id",)),
+    "dead_letters": (DEAD_LETTERS, ("original_stream", "original_message_id")),
+    "outbox": (struct(stream=STR, event_type=STR, payload=STR), ("stream", "payload")),
+    "dispatch": (struct(batch_id=STR, user_id=STR, metadata=STR, items=T.ArrayType(struct(item_id=STR, image_url=STR, item_index=INT))), ("batch_id",)),
 }
 
 # --- payloads on the wire ---------------------------------------------------

@@ -1,14 +1,15 @@
 """Tables on plain parquet.
 
-Every table is an append-only log: one directory per written batch, rewritten
-whole when that batch is replayed. The present state is the newest row per key
-among batches before a given one, so a replayed micro-batch sees the very state
-its first run saw. No file that is being read is ever overwritten.
+Every table is an append-only log: one directory per writer and batch, written
+whole again when that batch is replayed. The present state is the newest row
+per key. A replayed micro-batch leaves out its own and later batches of the
+same writer, so it sees the state its first run saw, and no file that is being
+read is ever overwritten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -73,33 +74,63 @@ class Table:
         self.schema = schema or declared[0]
         self.keys = tuple(keys) or (declared[1] if declared else ())
 
-    def write(self, df: DataFrame, batch: int, part: str = "rows") -> None:
-        """Write this batch's rows; a replay of the batch replaces them. `part` separates several writers of a batch."""
+    def write(self, df: DataFrame, batch: int, writer: str = "load") -> None:
+        """Write one batch of a writer; a replay of the batch replaces it."""
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
-        df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/batch={batch}/part={part}")
+        df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/writer={writer}/batch={batch}")
 
-    def log(self, before: int | None = None) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType()), T.StructField("part", T.StringType())])
+    def log(self, before: int | None = None, job: str | None = None) -> DataFrame:
+        """All rows with their `writer` and `batch`, without what the job's writers wrote from batch `before` on."""
+        full = T.StructType([*self.schema.fields, T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
         try:
             df = self.spark.read.schema(full).parquet(self.path)
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return self.spark.createDataFrame([], full)
-        return df if before is None else df.where(F.col("batch") < before)
+        return df if before is None else df.where(~F.col("writer").startswith(job) | (F.col("batch") < before))
 
-    def rows(self, before: int | None = None) -> DataFrame:
-        """Every logged row; right for tables whose keys are only ever written once."""
-        return self.log(before).drop("batch", "part")
-
-    def current(self, before: int | None = None) -> DataFrame:
-        """Newest row per key."""
-        return latest(self.log(before), self.keys, [F.col("batch").desc(), F.col("part").desc()]).drop("batch", "part")
+    def written(self, batch: int, writer: str) -> DataFrame:
+        """What one batch of a writer holds, read back from storage."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/writer={writer}/batch={batch}")
 
-    def compact_into(self, root: str, before: int) -> "Table":
-        """Write the state before a batch as batch -1 of a table under another root, to switch readers to."""
+    def rows(self, before: int | None = None, job: str | None = None) -> DataFrame:
+        """Every logged row; right for tables whose keys are only ever written once."""
+        return self.log(before, job).drop("writer", "batch")
+
+    def current(self, before: int | None = None, job: str | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Newest row per key, by updated_at where the table has it, then by batch and writer.
+
+        `only` names the rows a job cares about by some columns; the log is cut to them before anything is shuffled.
+        """
+        rows = self.log(before, job)
+        if only is not None:
+            rows = rows.join(only.distinct(), only.columns, "left_semi").select(*rows.columns)
+        newest = [F.col(c).desc() for c in ("updated_at",) if c in self.schema.fieldNames()]
+        return latest(rows, self.keys, [*newest, F.col("batch").desc(), F.col("writer").desc()]).drop("writer", "batch")
+
+    # --- tables with heavy rows: versions are told apart by a small side log, not by sorting the rows ---
+    def write_version(self, df: DataFrame, batch: int, writer: str) -> None:
+        """Write rows and note which older rows they replace."""
+        self.write(df, batch, writer)
+        new = self.written(batch, writer).select(*self.keys).distinct()
+        old = self.log(batch, writer).select(*self.keys, "writer", "batch").join(new, list(self.keys), "left_semi")
+        self._replaced().write(old.select(*self.keys, F.col("writer").alias("old_writer"), F.col("batch").alias("old_batch")), batch, writer)
+
+    def live(self) -> DataFrame:
+        """All rows that no later row replaced. The heavy rows are not shuffled while the side log is small."""
+        gone = self._replaced().rows().withColumnsRenamed({"old_writer": "writer", "old_batch": "batch"})
+        return self.log().join(gone, [*self.keys, "writer", "batch"], "left_anti").select(*self.schema.fieldNames())
+
+    def _replaced(self) -> "Table":
+        key_fields = [self.schema[k] for k in self.keys]
+        side = T.StructType([*key_fields, T.StructField("old_writer", T.StringType()), T.StructField("old_batch", T.LongType())])
+        return Table(self.spark, self.path.rsplit("/", 1)[0], f"{self.name}_replaced", side, self.keys)
+
+    def compact_into(self, root: str, rows: DataFrame | None = None) -> "Table":
+        """Write the present state (or `rows`, for instance after retention) as the start of a table under another root."""
         target = Table(self.spark, root, self.name, self.schema, self.keys)
-        target.write(self.current(before), -1)
+        target.write(self.current() if rows is None else rows, 0, "compacted")
         return target
 
 
@@ -107,9 +138,5 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return Table(spark, root, name).current()
 
 
-def write_table(df: DataFrame, root: str, name: str, batch: int = 0) -> None:
-    Table(df.sparkSession, root, name).write(df, batch)
-
-
-def tables(spark: SparkSession, root: str, names: Sequence[str] | None = None) -> Mapping[str, Table]:
-    return {name: Table(spark, root, name) for name in (names or schemas.TABLES)}
+def write_table(df: DataFrame, root: str, name: str, batch: int = 0, writer: str = "load") -> None:
+    Table(df.sparkSession, root, name).write(df, batch, writer)
