@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
@@ -103,11 +105,15 @@ def index_searches(searches: DataFrame, index: DataFrame, **physical) -> DataFra
     return _index_matches(S.index_search(queries, index, C.SEARCH_MAX_RESULTS, C.SEARCH_THRESHOLD, **physical))
 
 
-def land_searches(messages: DataFrame, searches: DataFrame, points: DataFrame, index: DataFrame, now: Column, **physical) -> dict[str, DataFrame]:
+def land_searches(
+    messages: DataFrame, searches: DataFrame, points: DataFrame, index: DataFrame, now: Column, *,
+    store: Callable[[DataFrame, DataFrame], DataFrame] | None = None, **physical,
+) -> dict[str, DataFrame]:
     """Computed query vectors (the SEARCH_RESULT fields plus stream_id) -> finished searches and their matches.
 
     Vectors of watch-list references are handed on as `reference_vectors`. An index search never reads the
     evidence points; with an unusable vector it ends as an error. The last message of a search id counts.
+    `store(matches, finished)` may write the matches and hand back the stored rows, so the search runs once.
     """
     admitted = P.admit(messages, P.ADMISSION["search_result"])
     is_reference = F.coalesce(F.col("purpose") == "blacklist_embed", F.lit(False))
@@ -131,6 +137,8 @@ def land_searches(messages: DataFrame, searches: DataFrame, points: DataFrame, i
     on_index = found.where((F.col("message_type") == C.SEARCH_TYPE_INDEX) & F.col("usable"))
     new_matches = evidence_search(evidence, points, **physical).unionByName(index_searches(on_index, index, **physical))
     done = found.where("usable")
+    if store is not None:
+        new_matches = store(new_matches, done.select("id"))
     created = _request_rows(
         found.where("known_id is null").drop("known_id"), now, id=F.col("id"), threshold=F.col("threshold"), max_results=F.col("max_results"),
         search_metadata=F.col("search_metadata"), search_type=F.col("message_type"), stream_message_id=F.col("stream_id"),
@@ -210,18 +218,10 @@ def recalc_due(searches: DataFrame, now: Column, hours_old: int = C.RECALC_HOURS
     return evidence.unionByName(index)
 
 
-def with_totals(searches: DataFrame, matches: DataFrame) -> DataFrame:
-    """Totals and outcome of finished searches, taken from the stored match rows; others stay as they are."""
-    outcome = search_outcome(searches.select("id"), matches).select(
-        F.col("search_request_id").alias("id"), F.col("total_matches").alias("_n"), F.col("similarity_status").alias("_o"))
-    done = F.col("status") == C.SEARCH_COMPLETED
-    return searches.join(outcome, "id").withColumn("total_matches", F.when(done, F.col("_n")).otherwise(F.col("total_matches"))).withColumn(
-        "similarity_status", F.when(done, F.col("_o")).otherwise(F.col("similarity_status"))).select(*searches.columns)
-
-
 def recalculate(
     searches: DataFrame, query_vectors: DataFrame, points: DataFrame, index: DataFrame, old_matches: DataFrame, now: Column, *,
-    hours_old: int = C.RECALC_HOURS_OLD, limit: int | None = C.RECALC_LIMIT, **physical,
+    hours_old: int = C.RECALC_HOURS_OLD, limit: int | None = C.RECALC_LIMIT,
+    store: Callable[[DataFrame, DataFrame], DataFrame] | None = None, **physical,
 ) -> dict[str, DataFrame]:
     """Search again with the stored query vectors, one pass per point table, and replace the match sets.
 
@@ -233,6 +233,8 @@ def recalculate(
     skipped = due.join(stored.select("qdrant_query_point_id"), "qdrant_query_point_id", "left_anti")
     fresh = evidence_search(ready.where(F.col("search_type") == C.SEARCH_TYPE_EVIDENCE), points, **physical).unionByName(
         index_searches(ready.where(F.col("search_type") == C.SEARCH_TYPE_INDEX), index, **physical))
+    if store is not None:
+        fresh = store(fresh, ready.select("id"))
     outcome = search_outcome(ready.select("id"), fresh).withColumnRenamed("search_request_id", "id")
     after = ready.drop("vector", "total_matches", "similarity_status").join(outcome, "id").withColumn(
         "processing_completed_at", now).withColumn("updated_at", now).select(*searches.columns)
