@@ -27,6 +27,7 @@ BROADCAST_QUERIES = 8192       # most query rows that may be broadcast
 BROADCAST_VALUES = 8_388_608   # most query vector elements that may be broadcast (64 MB)
 TILE_ROWS = 16_384             # most vectors of one side in one tile
 PAIR_TILE_ROWS = 4096          # the same where every passing pair is a result row
+SCOPE_ROWS = 200_000           # most scope values whose tile counts may be broadcast
 RANK_SALTS = 32                # first ranking stage: slices per query
 _BLOCK_CELLS = 2_000_000       # scores held at once inside a task
 _FLUSH_ROWS = 100_000          # survivors buffered inside a task
@@ -60,12 +61,31 @@ def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
     return matrix[good] / norms[good, None], rows[good]
 
 
-def _keys(table, names: Sequence[str]) -> np.ndarray:
-    """Scope values of each row as one object per row; a null never equals anything."""
+def _by_scope(table, names: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(scope values, row numbers) groups of a table; rows with a null scope value are in none.
+
+    Values are told apart by dictionary codes, so Python touches distinct values only.
+    """
     if not names:
-        return np.zeros(table.num_rows, dtype=object)
-    columns = [table.column(n).to_pylist() for n in names]
-    return np.array([None if None in row else "\x1f".join(map(str, row)) for row in zip(*columns)], dtype=object)
+        yield (), np.arange(table.num_rows)
+        return
+    codes, values = np.zeros(table.num_rows, dtype=np.int64), []
+    missing = np.zeros(table.num_rows, dtype=bool)
+    for name in names:
+        column = table.column(name)
+        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.string()).dictionary_encode()
+        index = column.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing |= index < 0
+        values.append(column.dictionary.to_pylist())
+        codes = codes * max(1, len(values[-1])) + index
+    rows = np.flatnonzero(~missing)
+    rows = rows[np.argsort(codes[rows], kind="stable")]
+    for part in np.split(rows, np.flatnonzero(np.diff(codes[rows])) + 1) if len(rows) else ():
+        code, key = int(codes[part[0]]), []
+        for known in reversed(values):
+            code, at = divmod(code, max(1, len(known)))
+            key.append(known[at])
+        yield tuple(reversed(key)), part
 
 
 @dataclass
@@ -74,8 +94,8 @@ class _Queries:
     matrix: np.ndarray
     threshold: np.ndarray
     limit: np.ndarray | None
-    groups: dict            # scope value -> query positions
-    filters: list | None    # per query filter tuple, None when queries carry none
+    groups: dict            # scope values -> (query numbers, their vectors as columns)
+    filters: dict | None    # scope values -> [(filter, positions inside the group)], None when queries carry none
 
     @classmethod
     def of(cls, table: pa.Table, scope: Sequence[str], threshold: float | None, k: int | None) -> "_Queries":
@@ -93,18 +113,20 @@ class _Queries:
             k_each = np.array([k if v is None else v for v in table.column("q_limit").to_pylist()], dtype=np.int64)
         else:
             k_each = None if k is None else np.full(n, k, dtype=np.int64)
-        groups: dict = {}
-        for i, key in enumerate(_keys(table, [f"q_{s}" for s in scope])):
-            if key is not None:
-                groups.setdefault(key, []).append(i)
+        members = dict(_by_scope(table, [f"q_{s}" for s in scope]))
+        groups = {key: (rows, np.ascontiguousarray(matrix[rows].T)) for key, rows in members.items()}
         filters = None
         asked = [f for f in FILTER_FIELDS if f in names]
         if asked:
             listed = lambda v: tuple(v) if isinstance(v, list) else v
-            rows = zip(*(table.column(f).to_pylist() for f in asked))
-            filters = [tuple((f, listed(v)) for f, v in zip(asked, row) if v is not None) for row in rows]
-        return cls(table.column("query_id").combine_chunks(), matrix, limits, k_each,
-                   {g: np.array(v) for g, v in groups.items()}, filters)
+            specs = [tuple((f, listed(v)) for f, v in zip(asked, row) if v is not None) for row in zip(*(table.column(f).to_pylist() for f in asked))]
+            filters = {}
+            for key, rows in members.items():
+                per: dict = {}
+                for at, row in enumerate(rows):
+                    per.setdefault(specs[row], []).append(at)
+                filters[key] = [(spec, np.array(at)) for spec, at in per.items()]
+        return cls(table.column("query_id").combine_chunks(), matrix, limits, k_each, groups, filters)
 
 
 def _any_of(column, wanted) -> np.ndarray:
@@ -195,26 +217,26 @@ def _score_batch(q: _Queries, out: _Survivors, table: pa.Table, scope: Sequence[
         return
     table = table.select(list(dict.fromkeys([*out.payload, *scope, *[c for c in table.column_names if c != "vector"]])))
     table = table.take(pa.array(rows))
-    keys = _keys(table, scope)
     masks: dict = {}
-    for key in set(keys) & set(q.groups):
-        mine = np.flatnonzero(keys == key)
-        queries = q.groups[key]
+    for key, mine in _by_scope(table, scope):
+        if key not in q.groups:
+            continue
+        queries, columns = q.groups[key]
         step = max(1, _BLOCK_CELLS // len(queries))
         for start in range(0, len(mine), step):
             block = mine[start:start + step]
-            scores = matrix[block] @ q.matrix[queries].T
+            scores = matrix[block] @ columns
             floor = out.floor[queries]
             passing = scores > floor if strict else scores >= floor
-            if q.filters is not None:
-                for j, query in enumerate(queries):
-                    spec = q.filters[query]
-                    if spec not in masks:
-                        masks[spec] = _filter_mask(table, spec)
-                    passing[:, j] &= masks[spec][block]
+            for spec, at in q.filters[key] if q.filters is not None else ():
+                if not spec:
+                    continue
+                if spec not in masks:
+                    masks[spec] = _filter_mask(table, spec)
+                passing[:, at] &= masks[spec][block, None]
             if q.limit is not None:
                 k = int(q.limit[queries].max())
-                if k < len(block):
+                if k < len(block) and np.count_nonzero(passing) > 2 * k * len(queries):
                     ranked = np.where(passing, scores, -np.inf)
                     kth = np.partition(ranked, len(block) - k, axis=0)[len(block) - k]
                     passing &= scores >= kth
@@ -252,6 +274,10 @@ def _spread(df: DataFrame, keys: Sequence[str], tile_rows: int, id_col: str, til
     """Tag rows with a tile inside their scope value; also return the tiles per scope value, or their number without scope."""
     if keys:
         sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias(count))
+        known = _bounded_rows(sizes, SCOPE_ROWS)
+        if known is not None:
+            # few scope values: the tile numbers are looked up in place and the vectors are not shuffled for it
+            sizes = F.broadcast(df.sparkSession.createDataFrame(known, sizes.schema))
         tagged = df.join(sizes, list(keys))
     else:
         sizes = max(1, -(-df.count() // tile_rows))
