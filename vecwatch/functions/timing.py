@@ -37,7 +37,7 @@ def iso_utc(ts: Column, z: bool = False) -> Column:
 def older_than(ts: Column, now: Column, **parts: int) -> Column:
     """True when `ts` lies before `now` minus an interval given as days=, hours=, mins= or secs=."""
     gap = F.make_dt_interval(*(F.lit(parts.get(p, 0)) for p in ("days", "hours", "mins", "secs")))
-    return F.coalesce(ts < now - gap, F.lit(False))
+    return ts.isNotNull() & (ts < now - gap)
 
 
 def day_of(ts: Column) -> Column:

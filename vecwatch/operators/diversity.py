@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import vectors
-from ..sources.tables import latest
+from ..sources.tables import durable, latest
 
 GROUP_ROWS = 10_000  # most frames of a group that one task walks through
 
@@ -91,15 +91,12 @@ def _rounds(frames: DataFrame, threshold: float, compare_all: bool, max_images:
             "group_id", F.coalesce("next", "pos").alias("pos"),
             F.when(more, F.concat("kept", F.array("next_hist"))).otherwise(F.col("kept")).alias("kept"),
             F.when(more, F.concat("positions", F.array("next"))).otherwise(F.col("positions")).alias("positions"))
-        if frames.sparkSession.conf.get("spark.checkpoint.dir", None):
-            kept = kept.checkpoint()
+        kept = durable(kept)
     chosen = kept.select("group_id", F.explode("positions").alias("pos"))
     if min_images <= 1:
         return chosen
     short = kept.where(F.size("positions") < min_images).select("group_id", "positions", (F.lit(min_images) - F.size("positions")).alias("lack"))
     rest = frames.select("group_id", "pos").join(short, "group_id").where(~F.array_contains("positions", F.col("pos")))
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy("group_id").orderBy("pos"))
     top = rest.withColumn("_r", rank).where(f"_r <= {min_images}").where(F.col("_r") <= F.col("lack")).select("group_id", "pos")
     return chosen.unionByName(top)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -12,16 +14,14 @@ from ..functions import text, vectors
 
 
 def _all(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    return reduce(and_, conditions) if conditions else F.lit(True)
 
 
 def payload_condition(schema: T.StructType, conditions: Mapping[str, object]) -> Column:
     """AND of field conditions: a scalar means equality, a list means any-of. On an array field: contains / overlaps.
 
-    A field the table lacks, or a null in it, never matches.
+    A field the table lacks, or a null in it, never matches: the condition is then false or null, and a filter drops
+    both. Plain comparisons are kept, so the scan can use them.
     """
     parts = []
     for name, value in conditions.items():
@@ -37,7 +37,7 @@ def payload_condition(schema: T.StructType, conditions: Mapping[str, object]) ->
             test = column.isin(*value)
         else:
             test = column == F.lit(value)
-        parts.append(F.coalesce(test, F.lit(False)))
+        parts.append(test)
     return _all(parts)
 
 
@@ -128,7 +128,7 @@ def index_condition(user_id: str, external_ids: Sequence[object] | None = None,
         parts.append(F.col("external_id").cast("string").isin(*[str(e) for e in external_ids]))
     if batch_id:
         parts.append(F.col("batch_id").cast("string") == F.lit(str(batch_id)))
-    return F.coalesce(_all(parts), F.lit(False))
+    return _all(parts)
 
 
 def index_scope(df: DataFrame, user_id: str, external_ids: Sequence[object] | None = None, batch_id: object | None = None) -> DataFrame:

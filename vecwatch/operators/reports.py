@@ -160,9 +160,8 @@ def asof_latency(
 def slowest(pairs: DataFrame, n: int = 5, alarm_ms: int = 5000) -> DataFrame:
     """The n slowest pairs, only when the 90th percentile passes the alarm."""
     paired = pairs.where("delta_ms is not null")
-    alarm = latency_stats(paired).select((F.col("p90") > alarm_ms).alias("alarm")).where("alarm")
-    worst = paired.orderBy(F.col("delta_ms").desc(), "key").limit(n)
-    return worst.join(alarm, F.lit(True), "left_semi")
+    alarm = latency_stats(paired).select(F.col("p90") > alarm_ms).scalar()
+    return paired.where(alarm).orderBy(F.col("delta_ms").desc(), "key").limit(n)
 
 
 def volume_profile(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:

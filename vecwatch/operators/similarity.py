@@ -460,16 +460,16 @@ def _pair_tiles(points: DataFrame, tile_rows: int) -> tuple[DataFrame, DataFrame
     return i_role.select(*fresh), j_role.select(*fresh)
 
 
-_PIVOTS = 64
+PIVOT_ROWS = 200_000           # fewest vectors for which cutting the pair space by pivots is tried
 _ANGLE_SLACK = 1e-6
 
 
-def _pivot_cells(points: DataFrame, threshold: float, pivots: int) -> tuple[DataFrame, DataFrame] | None:
+def _pivot_cells(points: DataFrame, threshold: float, pivots: int, must_cut: bool) -> tuple[DataFrame, DataFrame] | None:
     """Home cell of every vector, and the cells it must be compared with.
 
     Angles obey the triangle inequality, so a partner of x inside cell c needs
     angle(x, pivot c) <= radius(c) + acos(threshold). Cells outside that ball are
-    skipped without losing a pair.
+    skipped without losing a pair. With `must_cut`, None is returned unless at least half of all comparisons go away.
     """
     seeds = points.select("vector", F.xxhash64("point_id").alias("h")).orderBy("h").limit(pivots).drop("h").toArrow()
     centre, _ = _matrix(seeds.column("vector"))
@@ -495,9 +495,9 @@ def _pivot_cells(points: DataFrame, threshold: float, pivots: int) -> tuple[Data
     base = points.select("point_id", "vector")
     schema = T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
     homes = base.mapInArrow(home, schema)
-    radius = np.full(len(centre), -np.inf)
-    for row in homes.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # one row per pivot
-        radius[row["cell"]] = row["r"]
+    radius, at_home = np.full(len(centre), -np.inf), np.zeros(len(centre))
+    for row in homes.groupBy("cell").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+        radius[row["cell"]], at_home[row["cell"]] = row["r"], row["n"]
 
     def probe(batches):
         for kept, angle in angles(batches):
@@ -511,7 +511,12 @@ def _pivot_cells(points: DataFrame, threshold: float, pivots: int) -> tuple[Data
                 names=["point_id", "vector", "own", "cell"])
 
     p_schema = T.StructType([*base.schema.fields, T.StructField("own", T.IntegerType()), T.StructField("cell", T.IntegerType())])
-    return homes.drop("angle"), base.mapInArrow(probe, p_schema)
+    probes = base.mapInArrow(probe, p_schema)
+    if must_cut:
+        visits = {row["cell"]: row["count"] for row in probes.groupBy("cell").count().collect()}  # one row per pivot
+        if sum(at_home[cell] * n for cell, n in visits.items()) > at_home.sum() ** 2 / 4:
+            return None
+    return homes.drop("angle"), probes
 
 
 def similar_pairs(
@@ -560,8 +565,11 @@ def similar_pairs(
                 parts.append(pa.Table.from_arrays([x, y, pa.array(found)], names=["id_a", "id_b", "score"]).filter(up))
         return pa.concat_tables(parts).cast(arrow)
 
-    n_pivots = (_PIVOTS if threshold >= 0.5 else 0) if pivots is None else pivots
-    cells = _pivot_cells(base, threshold, n_pivots) if n_pivots else None
+    n_pivots = pivots
+    if n_pivots is None:
+        rows = base.count() if threshold >= 0.5 else 0
+        n_pivots = min(1024, int(rows ** 0.5 / 4)) if rows >= PIVOT_ROWS else 0
+    cells = _pivot_cells(base, threshold, n_pivots, pivots is None) if n_pivots else None
     if cells is not None:
         homes, probes = cells
         tagged_h, h_sizes = _spread(homes, ["cell"], tile, "point_id", "h_tile", "h_tiles")

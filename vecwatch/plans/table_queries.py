@@ -8,6 +8,7 @@ from .. import config as C, schemas
 from ..functions import text, timing, vectors
 from ..operators import batches as B, feeds, ingest, maintenance as M, predicates as P, reports as R, searches as S, watchlist as L
 from ..sources import envelopes as E, tables
+from ..streaming import jobs
 from .domain import uuid_of
 from .registry import joined, query, r6, ts, us
 
@@ -253,12 +254,11 @@ def _(d):
 
 
 @query("known_batches_only", """
-    select count(*) filter (where vec_id % 25 <> 3) as landed, count(*) filter (where vec_id % 25 = 3) as ignored from embeddings""")
+    select vec_id % 25 <> 3 as known, count(*) as n from embeddings group by 1""")
 def _(d):
-    messages, held = _computed(d), _open_batches(d)
-    known = messages.withColumn("id", text.normalize_uuid("batch_id")).join(held.select("id"), "id", "left_semi")
-    lost = messages.withColumn("id", text.normalize_uuid("batch_id")).join(held.select("id"), "id", "left_anti")
-    return known.agg(F.count(F.lit(1)).alias("landed")).join(lost.agg(F.count(F.lit(1)).alias("ignored")))
+    held = _open_batches(d).select("id", F.lit(True).alias("known"))
+    named = _computed(d).select(text.normalize_uuid("batch_id").alias("id"))
+    return named.join(held, "id", "left").groupBy(F.col("known").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("batch_compute_errors", """
@@ -598,6 +598,35 @@ def _(d):
     return feeds.dedup_alerts(alerts)
 
 
+@query("table_round_trip", """
+    select id, cast(blacklist_version + case when blacklist_version > 2 then 10 else 0 end as int) as blacklist_version, name from v_entries""")
+def _(d):
+    root = tables.scratch_root(d.spark)
+    entries = d["v_entries"]
+    tables.write_table(entries, root, "entries", 0)
+    bumped = entries.where("blacklist_version > 2").withColumns({"blacklist_version": F.col("blacklist_version") + 10, "updated_at": F.col("updated_at") + F.expr("interval 1 day")})
+    tables.write_table(bumped, root, "entries", 1)
+    return tables.read_table(d.spark, root, "entries").select("id", "blacklist_version", "name")
+
+
+@query("index_job_replayed", f"""{_LAND}, c as (select batch_id, count(*) filter (where status = 'embedded') as e, count(*) filter (where status = 'filtered') as f,
+      count(*) filter (where status in ('download_failed', 'no_result')) as x from r group by 1)
+    select batch_id as id, cast(e as int) as embedded_count, cast(f as int) as filtered_count, cast(x as int) as failed_count,
+      (select count(distinct item_index) from m where m.batch_id = c.batch_id and status = 'embedded') as points,
+      case when e + f + x < 10 then 'computing' when x = 0 then 'completed' else 'completed_with_errors' end as status from c""")
+def _(d):
+    ws = jobs.Workspace(d.spark, tables.scratch_root(d.spark), lambda: ts(NOW), dim=64)
+    ws.table("batches").write(_open_batches(d), 0)
+    messages = E.to_envelope(_computed(d).select("batch_id", "results"), C.EVENT_INDEX_COMPUTED)
+    order = _computed(d).select("batch_id", "seq", F.col("results")[0]["image_id"].alias("image_id"))
+    image = F.get_json_object("payload", "$.results[0].image_id")
+    stream = messages.withColumn("image_id", image).join(order, "image_id").select("event_type", "payload", F.concat(F.col("seq").cast("string"), F.lit("-0")).alias("stream_id"))
+    for _ in range(2):
+        jobs.apply_index(ws, stream, 1)
+    points = ws.table("index_points").live().groupBy(F.col("batch_id").alias("id")).agg(F.count(F.lit(1)).alias("points"))
+    return ws.table("batches").current().join(points, "id").select("id", "embedded_count", "filtered_count", "failed_count", "points", "status")
+
+
 # --- envelopes -----------------------------------------------------------------------------------
 _KNOWN = (C.EVENT_EMBEDDINGS, C.EVENT_SEARCH_VECTOR, C.EVENT_COMPUTE_ERROR)
 

@@ -9,6 +9,8 @@ read is ever overwritten.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -17,6 +19,29 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from .. import schemas
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it; a local session without one gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="vecwatch-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """A new root for tables inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, stored in the shared folder and cut from their lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row per key in the given order. Spark cuts to one row per key before the shuffle."""
     ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
