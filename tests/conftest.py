@@ -9,13 +9,17 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from vecwatch.session import SETTINGS
+
     builder = (
         SparkSession.builder.master("local[8]").appName("vecwatch-tests").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("wh"))))
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
     session = builder.getOrCreate()
     if not session.conf.get("spark.checkpoint.dir", None):
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
+        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("ckpt")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

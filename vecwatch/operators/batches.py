@@ -65,52 +65,45 @@ def submit_batches(submits: DataFrame, batches: DataFrame, now: Column, *, n_cap
     failure. The first valid one of an unknown client reference mints the batch and dispatches its items; any
     later one is only announced again.
     """
-    checked = P.validate_submits(submits, n_cap).withColumn(
-        "submitted", F.coalesce(F.size("entries"), F.lit(0)))
-    dropped = checked.where(~F.col("bindable"))
-    bound = mint(batches, checked.where("bindable"), "client_batch_ref", "seq")
+    checked = P.validate_submits(submits, n_cap).withColumn("submitted", F.coalesce(F.size("entries"), F.lit(0)))
+    bound = checked.where("bindable")
+    wrong = F.col("error").isNotNull()
     per_ref = bound.groupBy("client_batch_ref").agg(
         F.min_by(F.struct("user_id", "external_id", "source_ref", "metadata", "submitted"), "seq").alias("first"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("last_error"),
-        F.min(F.when(F.col("error").isNotNull(), F.col("seq"))).alias("first_error_seq"),
-        F.bool_or("created").alias("new"),
+        F.min("seq").alias("first_seq"),
+        F.max_by("error", F.when(wrong, F.col("seq"))).alias("last_error"),
+        F.min(F.when(wrong, F.col("seq"))).alias("first_error_seq"),
     )
-    failed = F.col("last_error").isNotNull()
-    none = F.lit(None)
-    minted = per_ref.where("new").select(
-        text.natural_id("batch", F.col("client_batch_ref")).alias("id"), "client_batch_ref", F.col("first.external_id").alias("external_id"),
-        F.col("first.user_id").alias("user_id"), F.when(failed, C.BATCH_ERROR).otherwise(C.BATCH_COMPUTING).alias("status"),
-        F.col("first.submitted").alias("submitted_count"), F.lit(0).alias("embedded_count"), F.lit(0).alias("filtered_count"),
-        F.lit(0).alias("failed_count"), F.col("first.source_ref").alias("source_ref"), F.col("first.metadata").alias("metadata"),
-        F.when(failed, text.truncate_error(F.col("last_error"))).alias("error_message"), now.alias("created_at"), now.alias("updated_at"),
-        F.when(failed, now).alias("completed_at"))
-    hit = per_ref.where(~F.col("new") & failed).select("client_batch_ref", "last_error")
-    turned = (
-        batches.join(hit, "client_batch_ref")
-        .withColumn("status", F.lit(C.BATCH_ERROR)).withColumn("error_message", text.truncate_error(F.col("last_error")))
-        .withColumn("completed_at", now).select(*batches.columns))
-    changed = minted.select(*batches.columns).unionByName(turned)
-    state = upsert(batches.join(per_ref.select("client_batch_ref"), "client_batch_ref", "left_semi").select(*batches.columns),
-                   changed.withColumn("seq", F.lit(1)), ("id",), "seq")
-
-    before_error = per_ref.select("client_batch_ref", "first_error_seq", "new")
-    prior = batches.select("client_batch_ref", F.col("status").alias("prior_status"))
-    shown = bound.select("client_batch_ref", "seq", "error").join(before_error, "client_batch_ref").join(prior, "client_batch_ref", "left")
-    status_then = (
-        F.when(F.col("error").isNotNull() | F.coalesce(F.col("first_error_seq") < F.col("seq"), F.lit(False)), C.BATCH_ERROR)
-        .otherwise(F.coalesce("prior_status", F.lit(C.BATCH_COMPUTING))))
-    told = shown.select("client_batch_ref", "seq", "error", status_then.alias("status_then")).join(state, "client_batch_ref")
+    held = batches.select("client_batch_ref", F.struct(*batches.columns).alias("was"))
+    refs = per_ref.join(held, "client_batch_ref", "left")
+    new, failed = F.col("was").isNull(), F.col("last_error").isNotNull()
+    batch_id = text.natural_id("batch", F.col("client_batch_ref"))
+    minted = {
+        "id": batch_id, "client_batch_ref": F.col("client_batch_ref"), "external_id": F.col("first.external_id"), "user_id": F.col("first.user_id"),
+        "status": F.lit(C.BATCH_COMPUTING), "submitted_count": F.col("first.submitted"), "embedded_count": F.lit(0), "filtered_count": F.lit(0),
+        "failed_count": F.lit(0), "source_ref": F.col("first.source_ref"), "metadata": F.col("first.metadata"),
+        "error_message": F.lit(None).cast("string"), "created_at": now, "updated_at": now, "completed_at": F.lit(None).cast("timestamp")}
+    on_error = {"status": F.lit(C.BATCH_ERROR), "error_message": text.truncate_error(F.col("last_error")), "completed_at": now}
+    after = {n: F.when(new, minted[n]).otherwise(F.col(f"was.{n}")) for n in batches.columns}
+    after = {n: F.when(failed, on_error[n]).otherwise(c) if n in on_error else c for n, c in after.items()}
+    refs = refs.select("client_batch_ref", "first_seq", "first_error_seq", new.alias("new"), failed.alias("failed"),
+                       F.col("was.status").alias("prior_status"), F.struct(*[c.alias(n) for n, c in after.items()]).alias("after"))
+    changed = refs.where(F.col("new") | F.col("failed")).select("after.*")
+
+    rows = bound.select("client_batch_ref", "seq", "error", "user_id", "metadata", "entries").join(refs, "client_batch_ref")
+    seen_error = wrong | F.coalesce(F.col("first_error_seq") < F.col("seq"), F.lit(False))
+    status_then = F.when(seen_error, C.BATCH_ERROR).otherwise(F.coalesce("prior_status", F.lit(C.BATCH_COMPUTING)))
+    told = rows.select("error", status_then.alias("status_then"), "after.*")
     told = told.withColumn("status", F.col("status_then")).withColumn("error_message", text.truncate_error(F.col("error"))).withColumn(
         "completed_at", F.when(F.col("status_then") == C.BATCH_ERROR, F.col("completed_at")))
-    kind = F.when(F.col("error").isNotNull(), C.EVENT_BATCH_FAILED).otherwise(C.EVENT_BATCH_CREATED)
+    kind = F.when(wrong, C.EVENT_BATCH_FAILED).otherwise(C.EVENT_BATCH_CREATED)
 
-    fresh = bound.where(F.col("created") & F.col("error").isNull())
-    batch_id = text.natural_id("batch", F.col("client_batch_ref"))
+    fresh = rows.where(F.col("new") & (F.col("seq") == F.col("first_seq")) & ~wrong)
     dispatch = fresh.select(
         batch_id.alias("batch_id"), "user_id", "metadata",
         F.transform("entries", lambda it, i: F.struct(
             text.item_id_of(it).alias("item_id"), it["image_url"].alias("image_url"), i.alias("item_index"))).alias("items"))
-    return {"dropped": dropped, "batches": changed, "dispatch": dispatch, "lifecycle": lifecycle_events(told, kind)}
+    return {"dropped": checked.where(~F.col("bindable")), "batches": changed, "dispatch": dispatch, "lifecycle": lifecycle_events(told, kind)}
 
 
 def _message_problem(results: Column, dim: int) -> Column:

@@ -29,6 +29,7 @@ TILE_ROWS = 16_384             # most vectors of one side in one tile
 PAIR_TILE_ROWS = 4096          # the same where every passing pair is a result row
 SCOPE_ROWS = 200_000           # most scope values whose tile counts may be broadcast
 RANK_SALTS = 32                # first ranking stage: slices per query
+_PROBE_BYTES = 1 << 30         # estimated plan size from which a bound is probed before rows are fetched
 _BLOCK_CELLS = 2_000_000       # scores held at once inside a task
 _FLUSH_ROWS = 100_000          # survivors buffered inside a task
 
@@ -265,7 +266,13 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def _bounded_rows(df: DataFrame, cap: int) -> pa.Table | None:
-    """The rows when there are at most `cap`, else None; never reads more than cap + 1."""
+    """The rows when there are at most `cap`, else None.
+
+    A plan whose estimated size is large is first probed with `take`, which stops after the first partitions.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > _PROBE_BYTES and len(df.select(F.lit(1)).take(cap + 1)) > cap:
+        return None
     head = df.limit(cap + 1).toArrow()
     return head if head.num_rows <= cap else None
 
