@@ -134,3 +134,13 @@ def test_a_plan_with_bounded_queries_does_not_shuffle_points(spark):
     text = S.score_join(df.select(F.col("point_id").alias("query_id"), "vector"), spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
         F.col("vec_id").cast("string").alias("point_id"), F.col("embedding").alias("vector")), threshold=0.5, k=3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("kept", [1, 7, 200])
+def test_large_limits_leave_the_broadcast_form(spark, monkeypatch, kept):
+    df = frame(spark, planted())
+    queries = df.select(F.col("point_id").alias("query_id"), "vector", F.lit(6).alias("q_limit"))
+    want = {tuple(r) for r in S.similarity_search(queries, df, 3, 0.2).select("query_id", "rank", F.round("score", 9)).collect()}
+    monkeypatch.setattr(S, "SURVIVOR_ROWS", kept)
+    got = {tuple(r) for r in S.similarity_search(queries, df, 3, 0.2).select("query_id", "rank", F.round("score", 9)).collect()}
+    assert got == want and max(r[1] for r in got) == 6

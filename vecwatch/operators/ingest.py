@@ -24,7 +24,10 @@ def frame_detections(image_name: Column, images: Column) -> Column:
 
 def stored_urls(results: DataFrame, uploads: DataFrame) -> DataFrame:
     """Put the stored copy's url (evidence_id, image_name, public_url) in place of the one in the message."""
-    one = uploads.where(F.length("public_url") > 0).groupBy("evidence_id", "image_name").agg(F.max("public_url").alias("public_url"))
+    # only names a message asks for, so a list below is never longer than that message's frames
+    asked = results.select("evidence_id", F.explode(F.transform("embeddings", lambda e: F.coalesce(e["image_name"], F.lit("")))).alias("image_name"))
+    wanted = uploads.where(F.length("public_url") > 0).join(asked.distinct(), ["evidence_id", "image_name"], "left_semi")
+    one = wanted.groupBy("evidence_id", "image_name").agg(F.max("public_url").alias("public_url"))
     lookup = one.groupBy("evidence_id").agg(F.map_from_entries(F.collect_list(F.struct("image_name", "public_url"))).alias("_urls"))
     swapped = F.transform("embeddings", lambda e: e.withField("image_url", F.coalesce(
         F.try_element_at(F.col("_urls"), F.coalesce(e["image_name"], F.lit(""))), e["image_url"])))

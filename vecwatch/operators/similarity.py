@@ -32,6 +32,7 @@ RANK_SALTS = 32                # first ranking stage: slices per query
 _PROBE_BYTES = 1 << 30         # estimated plan size from which a bound is probed before rows are fetched
 _BLOCK_CELLS = 2_000_000       # scores held at once inside a task
 _FLUSH_ROWS = 100_000          # survivors buffered inside a task
+SURVIVOR_ROWS = 2_000_000      # most rows a task may have to keep as the best k of its queries
 
 # Optional per-query payload filters: any-of or equality on the field behind "f_", and the two weapons columns.
 FIELD_FILTERS = ("f_camera_id", "f_object_type", "f_category", "f_external_id")
@@ -172,6 +173,7 @@ class _Survivors:
     def __init__(self, queries: _Queries, payload: Sequence[str], schema: pa.Schema):
         self.q, self.payload, self.schema = queries, payload, schema
         self.floor = queries.threshold.copy()
+        self.budget = _FLUSH_ROWS if queries.limit is None else max(_FLUSH_ROWS, 2 * int(queries.limit.sum()))
         self.parts: list[tuple[np.ndarray, np.ndarray, pa.Table]] = []
         self.rows = 0
 
@@ -252,7 +254,7 @@ def _score_batch(q: _Queries, out: _Survivors, table: pa.Table, scope: Sequence[
                 up = pc.less(left, right.cast(left.type)).to_numpy(zero_copy_only=False)
                 points, asked, found = points[up], asked[up], found[up]
             out.add(asked, found, table.select(out.payload).take(pa.array(points)))
-            if q.limit is not None and out.rows > _FLUSH_ROWS:
+            if q.limit is not None and out.rows > out.budget:
                 out.compact()
 
 
@@ -338,7 +340,10 @@ def score_join(
     bounded = _bounded_rows(queries, cap) if cap else None
     if bounded is not None:
         widest = pc.max(pc.list_value_length(bounded.column("vector"))).as_py() or 0
-        if bounded.num_rows * widest > BROADCAST_VALUES:
+        kept = bounded.num_rows * (k or 0)
+        if "q_limit" in extras:
+            kept = pc.sum(pc.fill_null(bounded.column("q_limit"), k or 0)).as_py() or 0
+        if bounded.num_rows * widest > BROADCAST_VALUES or kept > SURVIVOR_ROWS:
             bounded = None
     if bounded is not None:
         shipped = spark.sparkContext.broadcast(bounded)
@@ -349,7 +354,7 @@ def score_join(
             if len(q.matrix):
                 for batch in batches:
                     _score_batch(q, out, pa.Table.from_batches([batch]), scope, strict, ordered)
-                    if q.limit is None and out.rows > _FLUSH_ROWS:
+                    if q.limit is None and out.rows > out.budget:
                         yield from out.drain()
             yield from out.drain()
 
@@ -366,7 +371,11 @@ def score_join(
             hits = hits.select(F.col("point_id").alias("query_id"), F.col("query_id").alias("point_id"), "score")
             carried = points.select(*payload)
             return hits.join(carried, "point_id").select("query_id", *payload, "score") if len(payload) > 1 else hits
-    tagged_q, q_sizes = _spread(queries, q_scope, tile, "query_id", "q_tile", "q_tiles")
+    most = k or 0
+    if "q_limit" in extras:
+        most = max(most, queries.agg(F.max("q_limit")).first()[0] or 0)
+    q_rows = max(1, min(tile, SURVIVOR_ROWS // most)) if most else tile
+    tagged_q, q_sizes = _spread(queries, q_scope, q_rows, "query_id", "q_tile", "q_tiles")
     tagged_p, p_sizes = _spread(points, scope, tile, "point_id", "p_tile", "p_tiles")
     if scope:
         tagged_q = tagged_q.join(p_sizes.select(*[F.col(s).alias(f"q_{s}") for s in scope], "p_tiles"), q_scope)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import config as C, schemas
 from ..functions import text, timing
 from ..operators import feeds, ingest as I, ordered, predicates as P, reports as R
-from .domain import uuid_of
 from .registry import joined, query, r6, ts, us
 
 NOW = "2024-01-20 12:00:00"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C, schemas
 from ..functions import text, timing, vectors
-from ..operators import batches as B, feeds, ingest, maintenance as M, predicates as P, reports as R, searches as S, watchlist as L
+from ..operators import batches as B, feeds, maintenance as M, predicates as P, reports as R, searches as S, watchlist as L
 from ..sources import envelopes as E, tables
 from ..streaming import jobs
 from .domain import uuid_of
@@ -88,14 +88,14 @@ def _(d):
     return B.reap(d["v_batches"], ts("1998-06-01 00:15:00"))["batches"].select("id", "status", "error_message")
 
 
-@query("lookup_by_id", "select id, status, user_id from v_batches where id = 'b-11' and user_id in (select user_id from v_batches where id = 'b-11')")
+@query("lookup_by_id", "select 'batch' as kind, id, status from v_batches where id = 'b-11' union all select 'search', id, cast(status as string) from v_searches where search_id = 'search-7'")
 def _(d):
-    batches = d["v_batches"]
-    hits = [B.lookup(batches, "id", "b-11", f"user-{n}") for n in range(25)]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out.select("id", "status", "user_id")
+    batches, searches = d["v_batches"], d["v_searches"]
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.col("status").cast("string").alias("status"))
+    hits = one(B.lookup(batches, "id", "b-11"), "batch").unionByName(one(B.lookup(searches, "search_id", "search-7", search_type="evidence"), "search"))
+    foreign = one(B.lookup(batches, "id", "b-11", "user-none"), "foreign batch")
+    other_type = one(B.lookup(searches, "search_id", "search-7", search_type="image_index"), "other type")
+    return hits.unionByName(foreign).unionByName(other_type)
 
 
 def _submits(d):

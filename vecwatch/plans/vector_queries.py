@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import text, timing, vectors
+from ..functions import text, vectors
 from ..operators import diversity, predicates as P, searches, similarity as S, watchlist as L
 from ..sources import tables
 from .domain import uuid_of
-from .registry import joined, query, r6, ts, us
+from .registry import query, r6, ts
 
 COS = "list_cosine_similarity(cast({a}.vector as double[]), cast({b}.vector as double[]))"
 _T = 0.2
