@@ -74,7 +74,8 @@ def _sources(sizes: DataFrame, weights, cap: int, block_words: int) -> DataFrame
 def _spread(df: DataFrame, count: str, name: str) -> DataFrame:
     """A row for each number below `count`, made in two steps so that no task makes all numbers of a large source."""
     top = F.floor((F.col(count) - 1) / CHUNK)
-    out = df.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long")))).repartition("sid", "_chunk")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: few small rows that become many are not to be coalesced
+    out = df.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long")))).repartition(parts, "sid", "_chunk")
     a = F.col("_chunk") * CHUNK
     return out.withColumn(name, F.explode(F.sequence(a, F.least(a + CHUNK, F.col(count)) - 1))).drop("_chunk")
 
