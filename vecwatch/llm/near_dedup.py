@@ -5,9 +5,10 @@ minhash bands, SIDE bands of BAND hashes each; a table key is a pair of one band
 so SIDE * SIDE tables of 2 * BAND hashes cost 2 * SIDE * BAND minhashes. Two classes of similarity s share a key with
 probability (1 - (1 - s**BAND)**SIDE)**2, over 0.9998 at 0.8.
 
-Candidates are confirmed on full sets. Within a key everyone is first compared with the key's smallest class; components of the confirmed
-links then leave only pairs across components of one key, and only those that could still be links by size and by their minhashes are compared. A large group of copies
-or near copies is thus one pair per member, and no key emits its pairs. Components come from min-label rounds on stored link tables.
+Candidates are confirmed on full sets. Within a key everyone is first compared with the key's lead, the class that meets most others. Components of the
+confirmed links then leave only pairs across components of one key. Of these, pairs near a common lead are bounded by what they share inside and outside the
+lead; others by their distances to it, their sizes and their minhashes. What may still be a link is compared. A large group of copies or near copies is
+thus one pair per member, and no key emits all its pairs. Components come from min-label rounds on stored link tables.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BAND = 2
 HASHES = 2 * SIDE * BAND
 #: Pairs of similarity 0.8 agree in fewer of the 36 minhashes with a probability below 1e-6 (binomial tail).
 LEAST_EQUAL = 16
+#: Classes alike by so many percent are near one another: what they do not share is short.
+NEAR = 50
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, k1 long, k2 long, mins binary"
 
 
@@ -88,8 +91,13 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "mins").mapInArrow(pair, "key long, cls long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the class pairs (a, b) those whose full sets are similar enough. Texts of one row per class are read again, and only of classes in a pair."""
+JUDGED = "a long, b long, linked boolean, inside int, size_b int, outside array<bigint>"
+
+
+def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Compares the class pairs (a, b) on full sets: whether they are linked, how much of b lies inside a, and, if they are alike by NEAR percent, what of b lies outside.
+
+    Texts of one row per class are read again, and only of classes in a pair."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "k1", "k2"), "cls")
     texts = docs.select(whole().alias("text"), *row_key("doc_id", "text"))
     texts = texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).groupBy("cls").agg(F.any_value("text").alias("text"))
@@ -97,18 +105,23 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, other = [], None, None
+            out, last, other = ([], [], [], []), None, None
             for x, y in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
                 if x != last:
                     last, other = x, shingle_set(x, n)
                 own = shingle_set(y, n)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                inside = np.isin(own, other, assume_unique=True)
+                both = int(inside.sum())
+                union = len(own) + len(other) - both
+                outside = own[~inside].view(np.int64) if 100 * both >= NEAR * union else None
+                for column, value in zip(out, (100 * both >= percent * union, both, len(own), outside)):
+                    column.append(value)
+            columns = [pa.array(v, t) for v, t in zip(out, (pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "linked", "inside", "size_b", "outside"])
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return stored(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, JUDGED))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -134,25 +147,15 @@ def near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows = stored(signatures(docs, n))
     groups = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("k1", "k2", "n_shingles", "mins")).alias("one"), F.min("doc_id").alias("least_id"))
     classes = stored(groups.select("d1", "d2", "least_id", "one.*").withColumn("cls", F.monotonically_increasing_id()))
-    keys = table_keys(classes)
-    leads = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("top")).where("lead < top").drop("top")
-    shared = stored(keys.join(leads, "key"))
     sizes = classes.select("cls", "n_shingles", "mins")
+    shared = _shared_keys(classes)
     pairs = shared.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stored(confirmed(_possible(pairs, sizes, percent), classes, docs, n, percent))
+    told = judged(_possible(pairs, sizes, percent), classes, docs, n, percent)
+    links = told.where("linked").select("a", "b")
     roots = components(links)
-    # what is left: keys that hold several components; pairs across them that were not compared with the lead
-    root = F.coalesce("root", F.col("cls")).alias("root")
-    placed = shared.join(roots, "cls", "left").select("key", "cls", "lead", root).where("cls <> lead")
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = stored(placed.join(split, "key", "left_semi").join(sizes, "cls"))
-    x, y = placed.select(*[F.col(c).alias(f"{c}_x") for c in placed.columns]), placed.select(*[F.col(c).alias(f"{c}_y") for c in placed.columns])
-    rest = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("cls_x") < F.col("cls_y")) & (F.col("root_x") != F.col("root_y"))
-                  & _sized("n_shingles_x", "n_shingles_y", percent) & (_equal("mins_x", "mins_y") >= LEAST_EQUAL))
-    rest = stored(rest.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct())
+    rest = stored(_near_rest(told, roots, percent).union(_far_rest(shared, told, roots, sizes, percent)).distinct())
     if not rest.isEmpty():
-        more = confirmed(rest, classes, docs, n, percent)
-        roots = components(links.union(more))
+        roots = components(links.union(judged(rest, classes, docs, n, percent).where("linked").select("a", "b")))
     classes = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(names, "root").select("d1", "d2", "component_id")
@@ -160,6 +163,66 @@ def near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "k1", "k2")
 
 
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, cls, lead) of every key that two or more classes have. The lead is the class that meets most others over all its keys:
+    in a group of copies of one text that is the text they were made from, or one close to it."""
+    keys = table_keys(classes)
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(keys.join(counts, "key"))
+    met = shared.groupBy("cls").agg(F.sum("n").alias("met"))
+    shared = shared.select("key", "cls").join(met, "cls")
+    leads = shared.groupBy("key").agg(F.max("met").alias("met"))
+    leads = shared.join(leads, ["key", "met"]).groupBy("key").agg(F.min("cls").alias("lead"))
+    return stored(shared.select("key", "cls").join(leads, "key"))
+
+
+def _rooted(df: DataFrame, roots: DataFrame, cls: str, root: str) -> DataFrame:
+    own = roots.select(F.col("cls").alias(cls), F.col("root").alias(root))
+    return df.join(own, cls, "left").withColumn(root, F.coalesce(F.col(root), F.col(cls)))
+
+
+def _near_rest(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be links among the classes near one lead, where one of them is not in the lead's component.
+
+    What two classes share is inside the lead, at most the smaller of their parts inside, or outside it. So without a common shingle outside
+    only pairs whose parts inside suffice can be links, which are few as one of them is no link of the lead; the others are found by their common shingles outside.
+    """
+    near = told.where(F.col("outside").isNotNull())
+    near = stored(_rooted(_rooted(near, roots, "b", "root"), roots, "a", "lead_root").select("a", "b", "inside", "size_b", "outside", "root", "lead_root"))
+    x = near.where("root <> lead_root").select("a", *[F.col(c).alias(f"{c}_x") for c in ("b", "inside", "size_b", "outside", "root")])
+    y = near.select("a", *[F.col(c).alias(f"{c}_y") for c in ("b", "inside", "size_b", "outside", "root")])
+    across = F.col("root_x") != F.col("root_y")
+    enough = lambda more: 100 * (F.least("inside_x", "inside_y") + more) >= percent * (F.col("size_b_x") + F.col("size_b_y") - F.least("inside_x", "inside_y") - more)
+    a_x, a_y = x.drop("outside_x").withColumnRenamed("a", "a_x"), y.drop("outside_y").withColumnRenamed("a", "a_y")
+    inner = a_x.join(a_y, (F.col("a_x") == F.col("a_y")) & across & _sized("size_b_x", "size_b_y", percent) & enough(F.lit(0))).select("b_x", "b_y")
+    t_x = x.withColumn("token", F.explode("outside_x")).drop("outside_x")
+    t_y = y.withColumn("token", F.explode("outside_y")).drop("outside_y")
+    t_x, t_y = t_x.withColumnRenamed("a", "a_x").withColumnRenamed("token", "token_x"), t_y.withColumnRenamed("a", "a_y").withColumnRenamed("token", "token_y")
+    met = t_x.join(t_y, (F.col("a_x") == F.col("a_y")) & (F.col("token_x") == F.col("token_y")) & across & _sized("size_b_x", "size_b_y", percent))
+    met = met.groupBy("a_x", "b_x", "b_y", "inside_x", "inside_y", "size_b_x", "size_b_y").agg(F.count(F.lit(1)).alias("met"))
+    outer = met.where(enough(F.col("met"))).select("b_x", "b_y")
+    return inner.union(outer).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b"))
+
+
+def _far_rest(shared: DataFrame, told: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one key, across components, that are not both near the key's lead: those whose distances to the lead, sizes and minhashes leave a link possible."""
+    distance = 1 - F.col("inside") / (F.col("size_b") + F.col("size_a") - F.col("inside"))
+    known = told.join(sizes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("size_a")), "a").select(
+        F.col("a").alias("lead"), F.col("b").alias("cls"), distance.alias("d"), F.col("outside").isNotNull().alias("near"))
+    rows = _rooted(shared.where("cls <> lead"), roots, "cls", "root")
+    split = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rows = rows.join(split, "key", "left_semi").join(known, ["lead", "cls"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    far = rows.where(~F.col("near")).groupBy("key").agg(F.count(F.lit(1)).alias("n_far")).select("key")
+    rows = stored(rows.join(far, "key", "left_semi").join(sizes, "cls").select("key", "cls", "root", "d", "near", "n_shingles", "mins"))
+    x, y = rows.where(~F.col("near")).select(*[F.col(c).alias(f"{c}_x") for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_y") for c in rows.columns])
+    # distances obey the triangle inequality; a pair the lead was not compared with has no distance
+    apart = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    once = F.col("near_y") | (F.col("cls_x") < F.col("cls_y"))
+    pairs = x.join(y, (F.col("key_x") == F.col("key_y")) & once & (F.col("root_x") != F.col("root_y")) & apart
+                   & _sized("n_shingles_x", "n_shingles_y", percent) & (_equal("mins_x", "mins_y") >= LEAST_EQUAL))
+    return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"))
+
+
 def _sized(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
