@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import as_bytes, mixed, row_key, shingle_hashes, slices, whole, word_hashes
+from .common import as_bytes, mixed, packed, shingle_hashes, slices, whole, word_hashes
 
 WINDOW = 35
 PART = 12
@@ -123,10 +123,15 @@ def merged_sketch(docs: DataFrame, window: int, part: int, width_bits: int) -> n
     return out
 
 
+def _key(doc_id: str, text: str):
+    """Names a row in few bytes: a hash of id and text, and the id, which packs well."""
+    return [F.xxhash64(doc_id, text).alias("k1"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k2")]
+
+
 def repeated_places(docs: DataFrame, window: int = WINDOW, part: int = PART, width_bits: int = WIDTH_BITS) -> DataFrame:
-    """Of every text with a repeated window: its row key and the starts of such windows, as a list of ranges (a, b)."""
+    """Of every text with a repeated window: its row key and the starts of such windows, as a list of ranges a * 2**31 + b."""
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, window, part, width_bits))
-    names = ("h1", "h2", "k1", "k2", "a", "b", "n")
+    names = ("h1", "h2", "k1", "k2", "a", "b", "n")  # the digest's halves, the row's key, a range of starts, how often it is known to stand
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
@@ -181,20 +186,18 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, part: int = PART, wid
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], names=names)
 
     schema = "h1 long, h2 long, k1 long, k2 long, a int, b int, n byte"
-    found = docs.select("text", *row_key("doc_id", "text")).mapInArrow(candidates, schema)
+    found = docs.select("text", *_key("doc_id", "text")).mapInArrow(candidates, schema)
     total = F.sum("n").over(W.partitionBy("h1", "h2"))
     twice = found.withColumn("total", total).where("total > 1")
-    return twice.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    return twice.groupBy("k1", "k2").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 31) + F.col("b")).alias("ranges"))
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, part: int = PART, width_bits: int = WIDTH_BITS) -> DataFrame:
     """`docs` packed as `row`, with n_words, n_removed and the kept words joined by one space."""
     from pyspark.sql import types as T
 
-    from .common import packed
-
     places = repeated_places(docs.select("doc_id", "text"), window, part, width_bits)
-    rows = packed(docs).select("row", *row_key("row.doc_id", "row.text")).join(places.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "ranges")
+    rows = packed(docs).select("row", *_key("row.doc_id", "row.text")).join(places.hint("shuffle_hash"), ["k1", "k2"], "left").select("row", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,8 +207,9 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, part: int = PART, wid
                     words = text.split()
                     if ranges:
                         cover = np.zeros(len(words) + 1, np.int32)
-                        np.add.at(cover, [r["a"] for r in ranges], 1)
-                        np.add.at(cover, [r["b"] - 1 + window for r in ranges], -1)
+                        found = np.array(ranges, np.int64)
+                        np.add.at(cover, found >> 31, 1)
+                        np.add.at(cover, (found & 0x7FFFFFFF) - 1 + window, -1)
                         stay = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
                         gone.append(len(words) - len(stay))
                         n.append(len(words))
