@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import packed, unpacked
 
-SAMPLE_ROWS = 6144  # bound of the labelled rows a fit uses: those with the smallest hashes of their ids
+SAMPLE_ROWS = 4096  # bound of the labelled rows a fit uses: those with the smallest hashes of their ids
 BUCKETS = 1 << 15
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -28,6 +28,7 @@ EPOCHS = 12
 BATCH = 128
 RATE = 0.02
 DECAY = 1.0
+PACKED = np.float32(256.0)  # shares travel as 16-bit numbers of so many times their size; buckets, under 65,536, as 16-bit numbers too
 SCALE = np.float32(100.0)  # shares are small numbers; the softmax sees them enlarged
 MIN_DOCS = 5
 MIN_CHECKED = 100
@@ -69,7 +70,7 @@ def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS) -> Model:
-    """Embeddings and softmax by Adam on mini-batches, in a fixed order, so a fit can be repeated. One class only, or no row: a constant.
+    """Embeddings and softmax by Adam on mini-batches, in a fixed order, so a fit can be repeated. Shares come enlarged by PACKED. One class only, or no row: a constant.
 
     Shares are weighted by the rarity of their bucket, buckets of fewer than MIN_DOCS rows are left out. With MIN_CHECKED rows of each class the sample is
     first fitted without a third of it at a time, and rows whose label the others' model clearly contradicts are left out of the final fit.
@@ -81,21 +82,22 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
     for at, _ in bags:
         docs[at] += 1
     rarity = np.where(docs >= MIN_DOCS, np.log((n + 1) / (docs + 1)), 0).astype(np.float32)
-    weighted = [(at, share * rarity[at]) for at, share in bags]
+    rarity /= PACKED
     keep = np.ones(n, bool)
     if min(positive, n - positive) >= MIN_CHECKED:
         fold = np.arange(n) % FOLDS
         for k in range(FOLDS):
             others, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            weights, bias = _adam([weighted[i] for i in others], labels[others], buckets)
-            z = np.array([bias + float(weights[weighted[i][0]] @ weighted[i][1]) for i in own])
+            weights, bias = _adam([bags[i] for i in others], labels[others], rarity)
+            z = np.array([bias + float((weights * rarity)[bags[i][0]] @ bags[i][1].astype(np.float32)) for i in own])
             keep[own] = np.abs(labels[own] - 1 / (1 + np.exp(-np.clip(z, -50, 50)))) <= 1 - CONTRADICTED
     rows = np.flatnonzero(keep)
-    weights, bias = _adam([weighted[i] for i in rows], labels[rows], buckets)
-    return Model(weights * rarity, bias, buckets)
+    weights, bias = _adam([bags[i] for i in rows], labels[rows], rarity)
+    return Model(weights * rarity * PACKED, bias, buckets)
 
 
-def _adam(bags, labels: np.ndarray, buckets: int) -> tuple[np.ndarray, float]:
+def _adam(bags, labels: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, float]:
+    buckets = len(rarity)
     rng, n = np.random.default_rng(SEED), len(labels)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     params = [rng.normal(0, 0.05, (buckets, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))]
@@ -105,7 +107,7 @@ def _adam(bags, labels: np.ndarray, buckets: int) -> tuple[np.ndarray, float]:
         for at in np.array_split(rng.permutation(n), max(1, n // BATCH)):
             x = np.zeros((len(at), buckets), np.float32)
             for r, i in enumerate(at):
-                x[r, bags[i][0]] = bags[i][1] * SCALE
+                x[r, bags[i][0]] = bags[i][1] * (rarity[bags[i][0]] * SCALE)
             e, w, b = params
             mean = x @ e
             z = mean @ w + b
@@ -129,17 +131,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text of a repeated id: the bound holds
 
     def bags(batches):
         for batch in batches:
             made = [bag(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([b.tobytes() for _, b in made], pa.binary())],
+                [batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array([a.astype(np.uint16).tobytes() for a, _ in made], pa.binary()),
+                 pa.array([(b * PACKED).astype(np.float16).tobytes() for _, b in made], pa.binary())],
                 names=["doc_id", "y", "at", "share"])
 
-    # a repeated id gives several rows; the sample's bound holds for what is taken
-    got = texts.mapInArrow(bags, "doc_id string, y int, at binary, share binary").orderBy("doc_id", "at", "share").limit(rows).collect()
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got], np.array([r["y"] for r in got], np.int64))
+    found = texts.mapInArrow(bags, "doc_id string, y int, at binary, share binary").toLocalIterator()
+    got = sorted(((r["doc_id"], r["y"], r["at"], r["share"]) for r in found), key=lambda r: r[0])
+    return train([(np.frombuffer(at, np.uint16), np.frombuffer(share, np.float16)) for _, _, at, share in got], np.array([r[1] for r in got], np.int64))
 
 
 class _Words(dict):
