@@ -220,6 +220,7 @@ def encoded(docs: DataFrame, definition: str, hot_words: int = HOT_WORDS) -> Dat
             break
         least = 1 << r["e"]
     hot = spark.sparkContext.broadcast(Hot(table.where(F.col("n") >= least).select("h1", "h2", "ids").toArrow()))
+    pa.default_memory_pool().release_unused()  # the driver needs the collected table no more
     rows = packed(docs)
     if words > hot_words or size > HOT_BYTES:
         cold = table.where(F.col("n") < least).select("word", "ids")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import as_bytes, lowered_words, mixed, packed, row_key, shingle_hashes, slices, stored, unpacked, whole, word_hashes
 
@@ -185,7 +185,8 @@ def _near_rest(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs that may be links among the classes near one lead, where one of them is not in the lead's component.
 
     What two classes share is inside the lead, at most the smaller of their parts inside, or outside it. So without a common shingle outside
-    only pairs whose parts inside suffice can be links, which are few as one of them is no link of the lead; the others are found by their common shingles outside.
+    only pairs whose parts inside suffice can be links, which are few as one of them is no link of the lead; the others are found by a common shingle among their
+    rarest ones outside (a prefix filter).
     """
     near = told.where(F.col("outside").isNotNull())
     near = stored(_rooted(_rooted(near, roots, "b", "root"), roots, "a", "lead_root").select("a", "b", "inside", "size_b", "outside", "root", "lead_root"))
@@ -195,12 +196,19 @@ def _near_rest(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     enough = lambda more: 100 * (F.least("inside_x", "inside_y") + more) >= percent * (F.col("size_b_x") + F.col("size_b_y") - F.least("inside_x", "inside_y") - more)
     a_x, a_y = x.drop("outside_x").withColumnRenamed("a", "a_x"), y.drop("outside_y").withColumnRenamed("a", "a_y")
     inner = a_x.join(a_y, (F.col("a_x") == F.col("a_y")) & across & _sized("size_b_x", "size_b_y", percent) & enough(F.lit(0))).select("b_x", "b_y")
-    t_x = x.withColumn("token", F.explode("outside_x")).drop("outside_x")
-    t_y = y.withColumn("token", F.explode("outside_y")).drop("outside_y")
-    t_x, t_y = t_x.withColumnRenamed("a", "a_x").withColumnRenamed("token", "token_x"), t_y.withColumnRenamed("a", "a_y").withColumnRenamed("token", "token_y")
-    met = t_x.join(t_y, (F.col("a_x") == F.col("a_y")) & (F.col("token_x") == F.col("token_y")) & across & _sized("size_b_x", "size_b_y", percent))
-    met = met.groupBy("a_x", "b_x", "b_y", "inside_x", "inside_y", "size_b_x", "size_b_y").agg(F.count(F.lit(1)).alias("met"))
-    outer = met.where(enough(F.col("met"))).select("b_x", "b_y")
+    # shingles outside in order of rarity near the lead: pairs that share as many as they need share one within the first ones of each
+    tokens = near.select("a", "b", "inside", "size_b", "root", "lead_root", F.size("outside").alias("q"), F.explode("outside").alias("token"))
+    often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    alone = F.coalesce(F.col("often"), F.lit(1))
+    tokens = tokens.join(often, ["a", "token"], "left").withColumn("pos", F.row_number().over(W.partitionBy("a", "b").orderBy(alone, "token")))
+    tokens = stored(tokens.where("often > 1"))
+    t_x = tokens.where("root <> lead_root").select(*[F.col(c).alias(f"{c}_x") for c in ("a", "token", "b", "inside", "size_b", "root", "q", "pos")])
+    t_y = tokens.select(*[F.col(c).alias(f"{c}_y") for c in ("a", "token", "b", "inside", "size_b", "root", "q", "pos")])
+    wanted = F.ceil(percent * (F.col("size_b_x") + F.col("size_b_y")) / (100 + percent) - 1e-6) - F.least("inside_x", "inside_y")
+    wanted = F.greatest(wanted, F.lit(1))
+    early = (F.col("pos_x") <= F.col("q_x") - wanted + 1) & (F.col("pos_y") <= F.col("q_y") - wanted + 1)
+    met = t_x.join(t_y, (F.col("a_x") == F.col("a_y")) & (F.col("token_x") == F.col("token_y")) & across & _sized("size_b_x", "size_b_y", percent) & early)
+    outer = met.select("b_x", "b_y").distinct()
     return inner.union(outer).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b"))
 
 
