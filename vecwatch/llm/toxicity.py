@@ -91,6 +91,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
             weights, bias = _adam([bags[i] for i in others], labels[others], rarity)
             z = np.array([bias + float((weights * rarity)[bags[i][0]] @ bags[i][1].astype(np.float32)) for i in own])
             keep[own] = np.abs(labels[own] - 1 / (1 + np.exp(-np.clip(z, -50, 50)))) <= 1 - CONTRADICTED
+        if keep[labels == 1].mean() < 0.5:
+            keep[:] = True  # models that miss most of a class say nothing about its labels
     rows = np.flatnonzero(keep)
     weights, bias = _adam([bags[i] for i in rows], labels[rows], rarity)
     return Model(weights * rarity * PACKED, bias, buckets)
