@@ -144,3 +144,13 @@ def test_large_limits_leave_the_broadcast_form(spark, monkeypatch, kept):
     monkeypatch.setattr(S, "SURVIVOR_ROWS", kept)
     got = {tuple(r) for r in S.similarity_search(queries, df, 3, 0.2).select("query_id", "rank", F.round("score", 9)).collect()}
     assert got == want and max(r[1] for r in got) == 6
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_other_dimensions_and_empty_limits_do_not_change_hits(spark, parts):
+    """Points of another dimension, even when they are the most, never hide points of the query's; a limit of 0 asks for nothing."""
+    points = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), *[(f"w{i}", [1.0, 0.0, 0.0]) for i in range(9)]]
+    points = spark.createDataFrame(points, "point_id string, vector array<float>").repartition(parts)
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>")
+    assert sorted(r.point_id for r in S.similarity_search(queries, points, k=5, threshold=0.5).collect()) == ["a", "b"]
+    assert S.similarity_search(queries, points, k=0, threshold=0.5).count() == 0

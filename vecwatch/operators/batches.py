@@ -189,7 +189,9 @@ def runs(batches: DataFrame, cap: int = C.RUNS_CAP, external_id: str | None = No
         batches = batches.where(F.col("external_id") == external_id)
     if user_id is not None:
         batches = batches.where(F.col("user_id") == user_id)
-    limit = min(max(int(cap), 1), C.RUNS_CAP)
+    if int(cap) < 1:
+        raise ValueError(f"cap has to be positive, not {cap}")
+    limit = int(cap)
     order = W.partitionBy("user_id", "external_id").orderBy(F.col("created_at").desc(), F.col("id"))
     return batches.withColumn("run", F.row_number().over(order)).where(F.col("run") <= limit)
 

@@ -34,6 +34,11 @@ def stored_urls(results: DataFrame, uploads: DataFrame) -> DataFrame:
     return results.join(lookup, "evidence_id", "left").withColumn("embeddings", swapped).drop("_urls")
 
 
+def analysed() -> Column:
+    """Whether an evidence result carries a weapon analysis; an empty block is none."""
+    return F.col("weapon_analysis.images").isNotNull() | F.col("weapon_analysis.summary").isNotNull()
+
+
 def with_frames(results: DataFrame) -> DataFrame:
     """Adds `frames`, the embedded frames in message order with their detections. Works inside the row, no shuffle."""
     images = F.coalesce("weapon_analysis.images", F.array().cast(results.schema["weapon_analysis"].dataType["images"].dataType))
@@ -51,7 +56,7 @@ def frames(results: DataFrame, now: Column) -> DataFrame:
     shaped = results if "frames" in results.columns else with_frames(results)
     flat = shaped.withColumn("_category", text.entities_to_category(F.col("entities"))).select(
         "evidence_id", "camera_id", "user_id", "device_id", "app_id", "infraction_code", F.col("_category.ids").alias("category"),
-        F.col("weapon_analysis").isNotNull().alias("weapon_analyzed"), F.explode("frames").alias("f")).select("*", "f.*").drop("f")
+        analysed().alias("weapon_analyzed"), F.explode("frames").alias("f")).select("*", "f.*").drop("f")
     return flat.select(
         text.natural_id("frame", F.col("evidence_id"), F.col("pos")).alias("point_id"), "vector",
         F.lit(C.SOURCE_EVIDENCE).alias("source_type"), "evidence_id", "camera_id", "user_id", "device_id", "app_id", "infraction_code",
@@ -86,7 +91,7 @@ def requests(results: DataFrame, now: Column) -> DataFrame:
         "infraction_code", text.entities_to_category(F.col("entities"))["text"].alias("category"), F.lit(C.REQUEST_EMBEDDED).alias("status"),
         F.lit(None).cast("string").alias("worker_id"), F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("retry_count"),
         F.lit(None).cast("timestamp").alias("processing_started_at"), now.alias("processing_completed_at"),
-        F.col("stream_id").alias("stream_message_id"), F.col("weapon_analysis").isNotNull().alias("weapon_analyzed"),
+        F.col("stream_id").alias("stream_message_id"), analysed().alias("weapon_analyzed"),
         F.coalesce(summary["has_weapon"], F.lit(False)).alias("has_weapon"),
         F.coalesce(summary["classes_detected"], F.array().cast("array<string>")).alias("weapon_classes"),
         summary["max_confidence"].alias("weapon_max_confidence"), F.to_json(summary).alias("weapon_summary"),

@@ -188,7 +188,9 @@ def searches_with_matches(searches: DataFrame, matches: DataFrame, user_id: str
 
 
 def matches_page(matches: DataFrame, search_id: str | None, limit: int = 20, offset: int = 0) -> DataFrame:
-    limit = min(max(limit, 1), 100)
+    """A page of matches, best first. A page has 1 to 100 rows; other limits are refused."""
+    if not 1 <= limit <= 100:
+        raise ValueError(f"limit has to be from 1 to 100, not {limit}")
     mine = matches if search_id is None else matches.where(F.col("search_request_id") == search_id)
     return mine.orderBy(F.col("similarity_score").desc(), "id").offset(offset).limit(limit)
 

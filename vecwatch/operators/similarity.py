@@ -42,17 +42,20 @@ FILTER_FIELDS = (*FIELD_FILTERS, "f_weapons_filter", "f_weapon_classes")
 # ---------------------------------------------------------------------------
 # Scoring inside a task
 # ---------------------------------------------------------------------------
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row-normalised float64 matrix of the usable vectors, and their row numbers.
 
-    A vector is usable when it has elements, all finite, and a positive length.
+    A vector is usable when it has elements, all finite, and a positive length. `dim` is the dimension asked for; without it
+    the column's most frequent one is taken.
     """
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
     if not len(sizes) or not sizes.max():
         return np.empty((0, 0)), np.empty(0, dtype=np.int64)
-    dim = np.bincount(sizes[sizes > 0]).argmax()
+    dim = np.bincount(sizes[sizes > 0]).argmax() if dim is None else dim
     rows = np.flatnonzero(sizes == dim)
+    if not len(rows):
+        return np.empty((0, dim)), rows
     if len(rows) != len(sizes):
         array = array.take(pa.array(rows))
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -215,8 +218,8 @@ class _Survivors:
 
 
 def _score_batch(q: _Queries, out: _Survivors, table: pa.Table, scope: Sequence[str], strict: bool, ordered: bool) -> None:
-    matrix, rows = _matrix(table.column("vector"))
-    if not len(rows) or matrix.shape[1] != q.matrix.shape[1]:
+    matrix, rows = _matrix(table.column("vector"), q.matrix.shape[1])
+    if not len(rows):
         return
     table = table.select(list(dict.fromkeys([*out.payload, *scope, *[c for c in table.column_names if c != "vector"]])))
     table = table.take(pa.array(rows))
@@ -239,6 +242,8 @@ def _score_batch(q: _Queries, out: _Survivors, table: pa.Table, scope: Sequence[
                 passing[:, at] &= masks[spec][block, None]
             if q.limit is not None:
                 k = int(q.limit[queries].max())
+                if k <= 0:  # nothing is asked for
+                    continue
                 if k < len(block) and np.count_nonzero(passing) > 2 * k * len(queries):
                     ranked = np.where(passing, scores, -np.inf)
                     kth = np.partition(ranked, len(block) - k, axis=0)[len(block) - k]
@@ -364,7 +369,8 @@ def score_join(
     if cap and threshold is not None and not ordered and not extras:
         # many queries against a bounded point table: ship the points and scan the queries in place
         few = points.select("point_id", "vector", *scope)
-        if len(few.select(F.lit(1)).limit(cap + 1).take(cap + 1)) <= cap:
+        # hits find their payload by point id, so ids have to be unique
+        if len(few.select(F.lit(1)).limit(cap + 1).take(cap + 1)) <= cap and few.groupBy("point_id").count().where("count > 1").isEmpty():
             ship = few.select(F.col("point_id").alias("query_id"), "vector", *[F.col(s).alias(f"q_{s}") for s in scope])
             scan_side = queries.select(F.col("query_id").alias("point_id"), "vector", *[F.col(f"q_{s}").alias(s) for s in scope])
             hits = score_join(ship, scan_side, threshold=threshold, scope=scope, strict=strict, broadcast_queries=cap, tile_rows=tile)
