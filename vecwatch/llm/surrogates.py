@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import packed, row_key, stored, unpacked, whole
 
 KEY = "surrogate-key-1"
-#: Type and pattern, in order of precedence. Java's regular expressions.
+#: Type and pattern, in order of precedence. Java's regular expressions. Each begins with a test that fails fast: an address is tried only where its run of
+#: characters begins or the last match ended (\G), a secret or a name looks ahead before it looks behind.
 PATTERNS = (
-    ("email", r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?<=[=:]\s?[\"'])[0-9A-Fa-f]{32,64}(?=[\"'])"),
+    ("email", r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++(?<!\.)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("secret", r"(?=[0-9A-Fa-f]{32})(?<=[=:]\s?[\"'])[0-9A-Fa-f]{32,64}(?=[\"'])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("phone", r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)"),
     ("card", r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)"),
-    ("male", r"(?<=\b(?:Mr|Herr|Señor|Monsieur)\.?\s)\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)?"),
-    ("female", r"(?<=\b(?:Mrs|Ms|Frau|Señora|Madame)\.?\s)\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)?"),
+    ("male", r"(?=\p{Lu})(?<=\b(?:Mr|Herr|Señor|Monsieur)\.?\s)\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)?"),
+    ("female", r"(?=\p{Lu})(?<=\b(?:Mrs|Ms|Frau|Señora|Madame)\.?\s)\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)?"),
 )
 #: Given names by gender and script.
 NAMES = {
