@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecwatch.llm import bpe, catalog, exact_dedup, licenses, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
+from vecwatch.llm import bpe, catalog, exact_dedup, license_texts, licenses, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 long, row string, key string, sid long, _k long"
 
@@ -78,6 +78,39 @@ def test_template_markup():
     assert accepted == want
 
 
+def license_labels(text):
+    """By the automaton, which has to agree with the expressions the SQL uses."""
+    w = licenses.words_of(text)
+    got = {label for i in range(len(w)) for label, _, _ in LICENSES.match(w, i)}
+    assert got == {label for label, t in licenses.TEMPLATES if re.search(" " + licenses.expression(licenses.parse(t)), f" {' '.join(w)} ")}
+    return ",".join(sorted(got))
+
+
+LICENSES = licenses.Automaton.of(licenses.TEMPLATES)
+PLAIN = lambda t: licenses.MARK.sub("", t.replace(license_texts.HOLDER, " the authors "))
+
+
+def test_whole_licenses():
+    mit = PLAIN(license_texts.MIT)
+    assert license_labels(f"x {mit}.") == "mit" and license_labels(mit[:-30]) == ""
+    assert license_labels(mit.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED")) == ""  # the JSON license
+    head, tail = PLAIN(license_texts.BSD_HEAD), PLAIN(license_texts.BSD_TAIL)
+    names = "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University."
+    assert license_labels(f"{head} {tail}") == "bsd-2-clause" and license_labels(f"{head} 3. {names} {tail}") == "bsd-3-clause" and license_labels(f"{head} {advert} 4. {names} {tail}") == "bsd-4-clause"
+    assert license_labels(head) == ""
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Licensed under the MIT License", "mit"), ("Released under the Apache License", "apache"), ("under the Apache License, Version 1.1", "apache,apache-1.1"), ("available under the ISC license", "isc"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gpl-2.0"),
+    ("distributed under GPLv3", "gpl-3.0"), ("under the GNU LGPL 2.1", "lgpl-2.1"), ("under the GNU Lesser General Public License, version 3", "lgpl-3.0"), ("under the GNU Affero General Public License v3.0", "agpl-3.0"),
+    ("subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("licensed under CC BY 4.0", "cc-attribution"), ("licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"), ("under the BSD 3-Clause License", "bsd-3-clause"), ("Licensed under the Apache Licence", "")])
+def test_license_notices(text, want):
+    assert license_labels(text) == want
+
+
 @pytest.mark.parametrize("bits", [4, 20])
 def test_substrings(docs, bits):
     got = Counter(tuple(r) for r in substrings.substring_dedup(docs, width_bits=bits).collect())

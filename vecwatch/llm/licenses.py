@@ -1,7 +1,7 @@
 """License scan by template matching.
 
 A template is license wording with markup: `<<beginOptional>> .. <<endOptional>>` may be left out, `<<var;name="x";words="a-b">>` stands for a to b
-words of any kind. Templates are compiled into one automaton over words, made deterministic as it is used. A place in a text matches if
+words of any kind, `<<choice;of="x|y">>` for one of some wordings. Templates are compiled into one automaton over words, made deterministic as it is used. A place in a text matches if
 the mandatory wording stands there exactly, with optional parts present or absent and replaceable parts filled.
 Texts are scanned whole inside Arrow batches; nothing is shuffled.
 """
@@ -17,23 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import LETTERS, as_bytes
+from .license_texts import TEMPLATES
 
 #: Fixed by the task: words that stand consecutively, and the label of each such place.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and wording; several wordings may share a label.
-TEMPLATES = (
-    ("apache-2.0", "<<beginOptional>>This work is<<endOptional>> licensed under the Apache License<<beginOptional>>, Version 2.0<<endOptional>>"),
-    ("mit", "<<beginOptional>>This work is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-            "<<beginOptional>> (the \"Software\")<<endOptional>>, to deal in the Software without restriction"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "<<beginOptional>>This work is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, version 3"
-                "<<beginOptional>> or <<beginOptional>>(at your option)<<endOptional>> any later version<<endOptional>>"),
-    ("cc-by-nc", "<<beginOptional>>This work is<<endOptional>> licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY-NC <<var;name=\"version\";words=\"1-2\">>"),
-    ("copyright-notice", "Copyright <<beginOptional>>(c)<<endOptional>> <<var;name=\"holder\";words=\"1-8\">> All rights reserved"),
-)
-MARK = re.compile(r'<<(beginOptional|endOptional|var;name="[^"]*";words="(\d+)-(\d+)")>>')
+MARK = re.compile(r'<<(beginOptional|endOptional|var;name="[^"]*";words="(\d+)-(\d+)"|choice;of="([^"]*)")>>')
 
 
 def words_of(text: str) -> list[str]:
@@ -41,7 +30,7 @@ def words_of(text: str) -> list[str]:
 
 
 def parse(template: str) -> list:
-    """A list of words, ("optional", list) and ("any", least, most)."""
+    """A list of words, ("optional", list), ("any", least, most) and ("choice", lists)."""
     stack, at = [[]], 0
     for m in MARK.finditer(template):
         stack[-1].extend(words_of(template[at : m.start()]))
@@ -53,6 +42,8 @@ def parse(template: str) -> list:
                 raise ValueError(f"optional part ends before it begins: {template}")
             inner = stack.pop()
             stack[-1].append(("optional", inner))
+        elif m[4] is not None:
+            stack[-1].append(("choice", [words_of(x) for x in m[4].split("|")]))
         else:
             stack[-1].append(("any", int(m[2]), int(m[3])))
     if len(stack) > 1:
@@ -68,6 +59,8 @@ def expression(parts: list) -> str:
             out.append(f"{p} ")
         elif p[0] == "optional":
             out.append(f"(?:{expression(p[1])})?")
+        elif p[0] == "choice":
+            out.append(f"(?:{'|'.join(expression(x) for x in p[1])})")
         else:
             out.append(f"(?:[^ ]+ ){{{p[1]},{p[2]}}}")
     return "".join(out)
@@ -98,6 +91,11 @@ class Automaton:
                 self.free[end].add(skip)
                 self.free[at].add(skip)
                 at = skip
+            elif p[0] == "choice":
+                end = self._new()
+                for x in p[1]:
+                    self.free[self._chain(x, at)].add(end)
+                at = end
             else:
                 end = self._new()
                 for i in range(p[2] + 1):
