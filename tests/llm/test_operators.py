@@ -144,6 +144,21 @@ def test_quality_rejects_an_outlier(spark):
     assert not got.pop(999) and all(got.values())
 
 
+def test_quality_rejects_moderate_shares(spark):
+    """4 % symbols, or 20 % of words in repeated windows, among clean prose; one stray symbol or one repeated window in a long text stays."""
+    clean = [(i, prose(i, 150)) for i in range(150)]
+    symbols, again, stray = prose(900, 150).split(), prose(901, 150).split(), prose(902, 150).split()
+    for i in range(0, 150, 6):
+        symbols[i] = "|"
+    again[100:115] = again[20:35]
+    long = prose(903, 800).split()
+    long[400:408] = long[20:28]
+    data = clean + [(990, " ".join(symbols)), (991, " ".join(again)), (992, " ".join([*stray, "&"])), (993, " ".join(long))]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame([(*x, "en", "s") for x in data], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i, r in got.items() if not r.kept] in ([990, 991], [991, 990])
+
+
 def test_mixing(docs):
     got = mixing.mix_report(docs, block_words=8, shard_slots=64).collect()
     assert Counter(got) == Counter(mixing.mix_report(docs.repartition(2), block_words=8, shard_slots=64).collect())

@@ -23,12 +23,14 @@ LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 #: Share of a group's rows an estimate rests on, rows a group needs, concentration steps.
 SHARE, LEAST_GROUP, STEPS = 0.75, 100, 6
-#: Scatter of the nearest three quarters of normal rows in four dimensions is smaller than the whole's by this factor.
-CONSISTENCY = 1.485
-#: Rejected beyond this squared distance: the chi-square quantile of four degrees of freedom at about 1 - 1e-9.
-CUT = 48.0
-#: Smallest standard deviation of each transformed statistic, so that a count that is nearly always zero has a scale.
-FLOORS = (0.03, 0.06, 0.13, 0.13)
+#: Scatter of the nearest three quarters of normal rows is smaller than the whole's by this factor, in one to four dimensions.
+CONSISTENCY = (2.714, 1.859, 1.609, 1.485)
+#: Rejected beyond this squared distance: the chi-square quantile of four degrees of freedom at 0.999.
+CUT = 18.467
+#: Standard deviations of the transformed statistics that stand in where the scatter is singular: a direction is widened to them only if it is
+#: narrower. Where a count is zero in nearly all rows, they alone reject from 1.7 % symbols, 11.4 % repeated words, or as much of repeated lines on;
+#: mean word lengths within 14 % of the centre never reject alone.
+FLOORS = (0.03, 0.03, 0.08, 0.08)
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = len(FLOORS)
@@ -84,10 +86,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def transformed() -> list[Column]:
-    """Mean word length on a log scale, shrunk for short texts; shares of symbols, repeated lines and repeated words as angles."""
+    """Mean word length on a log scale, shrunk for short texts to `usual`, their group's median; shares of symbols, repeated lines and repeated words as angles."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     angle = lambda part, of: F.asin(F.sqrt(F.least(F.lit(1.0), part / of)))
-    length = F.log((F.col("word_chars") + 5.0 * 40) / (F.col("n_words") + 40.0))
+    length = F.log((F.col("word_chars") + F.col("usual") * 40) / (F.col("n_words") + 40.0))
     return [length.alias("x0"), angle(F.col("n_symbols"), F.col("word_chars") + F.col("n_symbols") + 1.0).alias("x1"),
             angle(F.col("n_dup_lines"), F.col("n_dup_lines") + n / 8).alias("x2"), angle(F.col("n_repeat_words"), n).alias("x3")]
 
@@ -101,8 +103,19 @@ def _moments() -> list[Column]:
 ESTIMATE = "g string, " + ", ".join(f"c{i} double" for i in range(DIM)) + ", " + ", ".join(f"p{i}{j} double" for i in range(DIM) for j in range(DIM))
 
 
-def _estimates(sums: DataFrame, widen: float) -> DataFrame:
-    """Centre and inverse scatter of every group from its sums. The scatter is widened for the part of the rows it was taken from."""
+def inverse_scatter(cov: np.ndarray) -> np.ndarray:
+    """Inverse of a scatter widened for the part of the rows it was taken from, in as many dimensions as have a scatter."""
+    floors = np.outer(FLOORS, FLOORS)
+    size, axes = np.linalg.eigh(cov / floors)
+    for d in range(DIM, 0, -1):
+        if d == 1 or (size * CONSISTENCY[d - 1] > 1).sum() >= d:
+            break
+    size = np.maximum(size * CONSISTENCY[d - 1], 1.0)
+    return (axes / size) @ axes.T / floors
+
+
+def _estimates(sums: DataFrame) -> DataFrame:
+    """Centre and inverse scatter of every group from its sums."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +126,7 @@ def _estimates(sums: DataFrame, widen: float) -> DataFrame:
                 for i in range(DIM):
                     for j in range(i, DIM):
                         cov[i, j] = cov[j, i] = r[f"s{i}{j}"] / r["m"] - mean[i] * mean[j]
-                inverse = np.linalg.inv(cov * widen + np.diag(np.square(FLOORS)))
-                rows.append([r["g"], *mean, *inverse.reshape(-1)])
+                rows.append([r["g"], *mean, *inverse_scatter(cov).reshape(-1)])
             columns = list(zip(*rows)) if rows else [[] for _ in range(1 + DIM + DIM * DIM)]
             names = [x.split()[0] for x in ESTIMATE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=names)
@@ -146,7 +158,7 @@ def mcd(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFra
         up = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
         bins = bins.withColumn("before", F.coalesce(F.sum("m").over(up), F.lit(0))).withColumn("all", F.sum("m").over(W.partitionBy("g")))
         sums = bins.where(F.col("before") < F.col("all") * share).groupBy("g").agg(*[F.sum(c).alias(c) for c in bins.columns if c == "m" or c[0] == "s"])
-        now = stored(_estimates(sums, CONSISTENCY))
+        now = stored(_estimates(sums))
     return now
 
 
@@ -158,7 +170,7 @@ def quality(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP) -
     Null and empty texts have five zeros and fail the base. A null language or source is a group of its own. Repeated rows count each; other columns are not
     read; an empty table gives no rows.
     """
-    rows = stored(statistics(docs).select("*", *transformed()))
+    rows = stored(statistics(docs))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     counts = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -171,6 +183,8 @@ def quality(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP) -
     counts = small_side(stored(counts))
     rows = rows.join(counts, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     rows = rows.withColumn("g", F.coalesce("g", F.lit("[]")))
+    usual = rows.where(~F.col("base_failed")).groupBy("g").agg(F.percentile_approx(F.col("word_chars") / F.col("n_words"), 0.5, 1000).alias("usual"))
+    rows = rows.join(small_side(stored(usual)), "g", "left").select("*", *transformed())
     vectors = rows.where(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(DIM)])
     enough = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_group).select("g")
     found = mcd(stored(vectors.join(small_side(stored(enough)), "g", "left_semi")))
