@@ -280,6 +280,22 @@ def test_surrogates(docs):
     assert re.search(r"Mr [А-Я][а-я]+ [А-Я][а-я]+", b)
 
 
+def test_surrogates_of_persons(spark):
+    """Later mentions without a title go too, parts of a name agree everywhere, other scripts and national phones are found."""
+    data = [(1, "Mr Ivan Petrov came. Ivan Petrov spoke, Petrov's wife left. PETROV stays; Petrovich too"), (2, "then Mr Petrov met Mrs Anna Petrov"), (3, "Petrov without a title"),
+            (4, "г-н Иван Сидоров и Сидоров"), (5, "κ. Νίκος Παππάς και Παππάς"), (6, "call (017) 555-7713 or +375 17 555-7713"), (7, "Mr Oleg Petrov")]
+    got = {r.doc_id: r for r in surrogates.surrogates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    given, family = re.match(r"Mr (\w+) (\w+) came", got[1].text).groups()
+    assert {given, family} & {"Ivan", "Petrov"} == set()
+    assert got[1].text == f"Mr {given} {family} came. {given} {family} spoke, {family}'s wife left. {family.upper()} stays; Petrovich too" and got[1].n_entities == 4
+    assert re.fullmatch(rf"then Mr {family} met Mrs \w+ {family}", got[2].text) and got[3].text == data[2][1]
+    assert re.fullmatch(r"г-н [А-Я][а-я]+ ([А-Я][а-я]+) и \1", got[4].text) and "Сидоров" not in got[4].text
+    assert re.fullmatch(r"κ\. \w+ (\w+) και \1", got[5].text) and "Παππάς" not in got[5].text
+    assert got[6].n_entities == 2 and re.fullmatch(r"call \(\d{3}\) \d{3}-\d{4} or \+\d{3} \d\d \d{3}-\d{4}", got[6].text) and "555-7713" not in got[6].text
+    other = re.fullmatch(rf"Mr (\w+) {family}", got[7].text)[1]
+    assert other not in (given, "Oleg")
+
+
 def test_surrogates_stay_distinct(spark):
     data = [(i, f"at {i // 10}.{i % 10}.0.1 now") for i in range(90)]
     out = surrogates.surrogates(spark.createDataFrame(data, "doc_id long, text string")).collect()
