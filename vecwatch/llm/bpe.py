@@ -3,7 +3,7 @@
 Texts are split in Spark tasks into the pieces a tokenizer's pre-tokenizer makes. Each distinct piece of the corpus is encoded once,
 into a table of (word, ids). Ids come back to the texts by position: the table's most frequent words, as many as a stated bound, go to every task
 and are looked up in place; a word beyond that bound is joined by position through a shuffle, so the vocabulary may be of any size. Decoding
-joins ids with the table of pieces, which is as small as the tokenizer's vocabulary.
+looks ids up in the table of pieces, broadcast to every task as it is as small as the tokenizer's vocabulary, and calls the tokenizer's decoder; there is no join.
 """
 
 from __future__ import annotations
