@@ -2,8 +2,8 @@
 
 Every partition first sorts its digests into a run with one entry per digest: the smallest id, the number of rows, the
 length of the text. Runs are then exchanged in binomial rounds: in round r a run passes each entry to the partition whose number
-agrees with its own but for the r-th digit, which is taken from the digest. What arrives is merged run by run, and the smallest
-identifier of entries that agree in the whole digest and length is kept. After the last round a partition holds
+agrees with its own but for the r-th digit, which is taken from the digest. What arrives is sorted again as a whole, not merged run by run, and the smallest
+identifier of entries that agree in the whole digest and length is kept. There are 8 places a digit, so 8 or fewer shuffle partitions mean one round, a plain shuffle by digest. After the last round a partition holds
 one share of all digests, each complete. A frequent text is one entry per run from the first level on, so no task ever
 holds its rows.
 """
