@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, merkle, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
+from . import bpe, exact_dedup, lexical, licenses, merkle, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
 from .common import SPACE, read
 
 EXACT_SQL = f"""
@@ -32,10 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_perspectives": over("conversations", perspectives.perspectives),
         "op10_exact_dedup": over("documents", exact_dedup.exact_dedup),
         "op12_merkle_manifest": over("documents", merkle.merkle),
+        "op13_lexical_search": over("documents", lexical.search, "benchmark"),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_license_scan": licenses.scan_sql(), "op9_perspectives": perspectives.SQL, "op10_exact_dedup": EXACT_SQL, "op12_merkle_manifest": merkle.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_license_scan": licenses.scan_sql(), "op9_perspectives": perspectives.SQL, "op10_exact_dedup": EXACT_SQL, "op12_merkle_manifest": merkle.SQL, "op13_lexical_search": lexical.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql is not None}
