@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lexical, licenses, merkle, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
+from . import bpe, exact_dedup, language, lexical, licenses, merkle, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
 from .common import SPACE, read
 
 EXACT_SQL = f"""
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_surrogates": over("documents", surrogates.surrogates),
         "op9_perspectives": over("conversations", perspectives.perspectives),
         "op10_exact_dedup": over("documents", exact_dedup.exact_dedup),
+        "op11_language_id": over("documents", language.language),
         "op12_merkle_manifest": over("documents", merkle.merkle),
         "op13_lexical_search": over("documents", lexical.search, "benchmark"),
         "pipeline": corpus_pipeline.run,
