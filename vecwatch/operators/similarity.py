@@ -4,13 +4,17 @@ Scoring is exact. The score of every surviving pair is computed in float64 by
 numpy on Arrow batches, and only rows that pass the threshold and the local
 top-k leave a task; pairs are never materialised as rows.
 
-Two physical forms, chosen by a counted bound on the query side:
+Physical forms, chosen by counted bounds:
 
 * bounded queries: the query matrix is broadcast and the point table is scored
-  in place, so the large side is neither shuffled nor sorted;
+  in place, so the large side is neither shuffled nor sorted; the scope values
+  and filters that all queries share are pushed into its scan;
+* bounded points and many queries: the points are shipped, each query is ranked in place;
 * anything larger: both sides are cut into tiles per scope value (tenant), a
   tile holding at most TILE_ROWS vectors. A hot tenant only gets more tiles.
   Tiles meet through a cogroup on (scope, query tile, point tile).
+
+Vectors of one dimension meet only vectors of the same; a table may mix dimensions.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ BROADCAST_QUERIES = 8192       # most query rows that may be broadcast
 BROADCAST_VALUES = 8_388_608   # most query vector elements that may be broadcast (64 MB)
 TILE_ROWS = 16_384             # most vectors of one side in one tile
 PAIR_TILE_ROWS = 4096          # the same where every passing pair is a result row
+PUSHED_VALUES = 1000           # most values of a scope or filter that are pushed into the point scan as a list
 SCOPE_ROWS = 200_000           # most scope values whose tile counts may be broadcast
 RANK_SALTS = 32                # first ranking stage: slices per query
 _PROBE_BYTES = 1 << 30         # estimated plan size from which a bound is probed before rows are fetched
@@ -42,20 +47,26 @@ FILTER_FIELDS = (*FIELD_FILTERS, "f_weapons_filter", "f_weapon_classes")
 # ---------------------------------------------------------------------------
 # Scoring inside a task
 # ---------------------------------------------------------------------------
-def _matrix(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row-normalised float64 matrix of the usable vectors, and their row numbers.
+def _flat(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _dimensions(column) -> list[int]:
+    """The vector lengths that occur, without 0 and null."""
+    sizes = pc.fill_null(pc.list_value_length(_flat(column)), 0).to_numpy(zero_copy_only=False)
+    return np.unique(sizes[sizes > 0]).tolist()
+
+
+def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row-normalised float64 matrix of the usable vectors of a dimension, and their row numbers.
 
-    A vector is usable when it has elements, all finite, and a positive length. `dim` is the dimension asked for; without it
-    the column's most frequent one is taken.
+    A vector is usable when it has elements, all finite, and a positive length.
     """
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    array = _flat(column)
     sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
-    if not len(sizes) or not sizes.max():
-        return np.empty((0, 0)), np.empty(0, dtype=np.int64)
-    dim = np.bincount(sizes[sizes > 0]).argmax() if dim is None else dim
     rows = np.flatnonzero(sizes == dim)
-    if not len(rows):
-        return np.empty((0, dim)), rows
+    if not dim or not len(rows):
+        return np.empty((0, dim)), np.empty(0, dtype=np.int64)
     if len(rows) != len(sizes):
         array = array.take(pa.array(rows))
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -103,8 +114,13 @@ class _Queries:
     filters: dict | None    # scope values -> [(filter, positions inside the group)], None when queries carry none
 
     @classmethod
-    def of(cls, table: pa.Table, scope: Sequence[str], threshold: float | None, k: int | None) -> "_Queries":
-        matrix, rows = _matrix(table.column("vector"))
+    def per_dimension(cls, table: pa.Table, scope: Sequence[str], threshold: float | None, k: int | None) -> list["_Queries"]:
+        made = [cls.of(table, dim, scope, threshold, k) for dim in _dimensions(table.column("vector"))]
+        return [q for q in made if len(q.matrix)]
+
+    @classmethod
+    def of(cls, table: pa.Table, dim: int, scope: Sequence[str], threshold: float | None, k: int | None) -> "_Queries":
+        matrix, rows = _matrix(table.column("vector"), dim)
         table = table.take(pa.array(rows))
         names = table.column_names
         n = table.num_rows
@@ -344,39 +360,32 @@ def score_join(
 
     bounded = _bounded_rows(queries, cap) if cap else None
     if bounded is not None:
-        widest = pc.max(pc.list_value_length(bounded.column("vector"))).as_py() or 0
         kept = bounded.num_rows * (k or 0)
         if "q_limit" in extras:
             kept = pc.sum(pc.fill_null(bounded.column("q_limit"), k or 0)).as_py() or 0
-        if bounded.num_rows * widest > BROADCAST_VALUES or kept > SURVIVOR_ROWS:
+        if _cells(bounded) > BROADCAST_VALUES or kept > SURVIVOR_ROWS:
             bounded = None
     if bounded is not None:
         shipped = spark.sparkContext.broadcast(bounded)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = _Queries.of(shipped.value, scope, threshold, k)
-            out = _Survivors(q, payload, arrow)
-            if len(q.matrix):
-                for batch in batches:
+            asked = _Queries.per_dimension(shipped.value, scope, threshold, k)
+            outs = [_Survivors(q, payload, arrow) for q in asked]
+            for batch in batches:
+                for q, out in zip(asked, outs):
                     _score_batch(q, out, pa.Table.from_batches([batch]), scope, strict, ordered)
                     if q.limit is None and out.rows > out.budget:
                         yield from out.drain()
-            yield from out.drain()
+            for out in outs:
+                yield from out.drain()
 
-        return points.mapInArrow(scan, schema)
+        return _pruned(points, bounded, scope).mapInArrow(scan, schema)
 
     q_scope = [f"q_{s}" for s in scope]
     if cap and threshold is not None and not ordered and not extras:
-        # many queries against a bounded point table: ship the points and scan the queries in place
-        few = points.select("point_id", "vector", *scope)
-        # hits find their payload by point id, so ids have to be unique
-        if len(few.select(F.lit(1)).limit(cap + 1).take(cap + 1)) <= cap and few.groupBy("point_id").count().where("count > 1").isEmpty():
-            ship = few.select(F.col("point_id").alias("query_id"), "vector", *[F.col(s).alias(f"q_{s}") for s in scope])
-            scan_side = queries.select(F.col("query_id").alias("point_id"), "vector", *[F.col(f"q_{s}").alias(s) for s in scope])
-            hits = score_join(ship, scan_side, threshold=threshold, scope=scope, strict=strict, broadcast_queries=cap, tile_rows=tile)
-            hits = hits.select(F.col("point_id").alias("query_id"), F.col("query_id").alias("point_id"), "score")
-            carried = points.select(*payload)
-            return hits.join(carried, "point_id").select("query_id", *payload, "score") if len(payload) > 1 else hits
+        few = _bounded_rows(points.select("vector", *needed), cap)
+        if few is not None and _cells(few) <= BROADCAST_VALUES:
+            return _ranked_in_place(queries, few, points.select(*payload).schema, scope, threshold, k, strict)
     most = k or 0
     if "q_limit" in extras:
         most = max(most, queries.agg(F.max("q_limit")).first()[0] or 0)
@@ -395,17 +404,95 @@ def score_join(
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        q = _Queries.of(left, scope, threshold, k)
-        out = _Survivors(q, payload, arrow)
-        if len(q.matrix):
+        found = []
+        for q in _Queries.per_dimension(left, scope, threshold, k):
+            out = _Survivors(q, payload, arrow)
             _score_batch(q, out, right, scope, strict, ordered)
-        return pa.Table.from_batches(list(out.drain()), schema=arrow)
+            found.extend(out.drain())
+        return pa.Table.from_batches(found, schema=arrow)
 
     left = tagged_q.groupBy(*q_scope, "q_tile", "p_tile")
     right = tagged_p.groupBy(*scope, "q_tile", "p_tile")
     return left.cogroup(right).applyInArrow(meet, schema)
 
 
+def _cells(table: pa.Table) -> int:
+    """Vector elements of a table."""
+    return int(pc.sum(pc.list_value_length(table.column("vector"))).as_py() or 0)
+
+
+def _listed(points: DataFrame, column: str, values: set) -> DataFrame:
+    """Points whose column has one of the values: a pushed list, or a broadcast of the values where they are many."""
+    if len(values) <= PUSHED_VALUES:
+        return points.where(F.col(column).isin(*values)) if values else points.where(F.lit(False))
+    kind = points.schema[column].dataType
+    wanted = points.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField(column, kind)]))
+    return points.join(F.broadcast(wanted), column, "left_semi").select(*points.columns)
+
+
+def _pruned(points: DataFrame, queries: pa.Table, scope: Sequence[str]) -> DataFrame:
+    """Points cut to what some query can reach, by conditions that a scan can take: scope values, filters every query carries, weapon modes."""
+    texts = lambda name: isinstance(points.schema[name].dataType, T.StringType)
+    seen = lambda name: set(queries.column(name).unique().to_pylist())
+    for name in scope:
+        if texts(name):
+            points = _listed(points, name, {str(v) for v in seen(f"q_{name}") if v is not None})
+    for name in FIELD_FILTERS:
+        column = name[2:]
+        if name not in queries.column_names or column not in points.columns or not texts(column) or queries.column(name).null_count:
+            continue
+        asked = queries.column(name).to_pylist()
+        points = _listed(points, column, {str(v) for one in asked for v in (one if isinstance(one, (list, tuple)) else [one]) if v is not None})
+    if "f_weapons_filter" in queries.column_names:
+        modes = seen("f_weapons_filter")
+        if modes == {"only"}:
+            points = points.where("has_weapon")
+        elif modes and modes <= {"exclude", "analyzed_clean"}:
+            points = points.where("not has_weapon")
+    return points
+
+
+def _ranked_in_place(queries: DataFrame, few: pa.Table, kept: T.StructType, scope: Sequence[str], threshold: float, k: int | None, strict: bool) -> DataFrame:
+    """(query_id, kept columns of the points, score) with a bounded point table shipped to the queries: each query sees all points at once and is cut to its best k."""
+    shipped = queries.sparkSession.sparkContext.broadcast(few)
+    schema = T.StructType([queries.schema["query_id"], *kept.fields, T.StructField("score", T.DoubleType())])
+    arrow, names = _arrow_schema(schema), kept.fieldNames()
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shipped.value
+        by_id = np.unique(points.column("point_id").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        sides = []
+        for dim in _dimensions(points.column("vector")):
+            matrix, rows = _matrix(points.column("vector"), dim)
+            sides.append((dim, {key: (rows[own], np.ascontiguousarray(matrix[own].T)) for key, own in _by_scope(points.select(list(scope)).take(pa.array(rows)) if scope else points.take(pa.array(rows)), scope)}))
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for dim, groups in sides:
+                matrix, rows = _matrix(table.column("vector"), dim)
+                own = table.drop(["vector"]).take(pa.array(rows))
+                for key, mine in _by_scope(own, [f"q_{s}" for s in scope]):
+                    if key not in groups or not len(mine):
+                        continue
+                    at, columns = groups[key]
+                    step = max(1, _BLOCK_CELLS // max(1, len(at)))
+                    for start in range(0, len(mine), step):
+                        block = mine[start:start + step]
+                        scores = matrix[block] @ columns
+                        qi, pj = np.nonzero(scores > threshold if strict else scores >= threshold)
+                        found = scores[qi, pj]
+                        if k is not None:
+                            order = np.lexsort((by_id[at[pj]], -found, qi))
+                            place = np.arange(len(order)) - np.searchsorted(qi[order], qi[order], side="left")
+                            order = order[place < k]
+                            qi, pj, found = qi[order], pj[order], found[order]
+                        if len(qi):
+                            hit = points.select(names).take(pa.array(at[pj]))
+                            out = pa.Table.from_arrays([own.column("query_id").take(pa.array(block[qi])), *hit.columns, pa.array(found)], names=schema.fieldNames())
+                            yield from out.cast(arrow).to_batches(max_chunksize=20_000)
+
+    return queries.mapInArrow(rank, schema)
+
+
 def best_per_query(hits: DataFrame, k: int | Column, id_col: str = "point_id") -> DataFrame:
     """Best k rows per query_id by score, ties by id, as `rank` 1..k.
 
@@ -486,15 +573,22 @@ PIVOT_ROWS = 200_000           # fewest vectors for which cutting the pair space
 _ANGLE_SLACK = 1e-6
 
 
-def _pivot_cells(points: DataFrame, threshold: float, pivots: int, must_cut: bool) -> tuple[DataFrame, DataFrame] | None:
-    """Home cell of every vector, and the cells it must be compared with.
+def _main_dimension(points: DataFrame) -> int:
+    """The most frequent vector length."""
+    sizes = points.where(F.size("vector") > 0).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim")
+    row = sizes.first()
+    return row["dim"] if row else 0
+
+
+def _pivot_cells(points: DataFrame, dim: int, threshold: float, pivots: int, must_cut: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Home cell of every vector of a dimension, and the cells it must be compared with.
 
     Angles obey the triangle inequality, so a partner of x inside cell c needs
     angle(x, pivot c) <= radius(c) + acos(threshold). Cells outside that ball are
-    skipped without losing a pair. With `must_cut`, None is returned unless at least half of all comparisons go away.
+    skipped without losing a pair. With `must_cut`, visits are counted by cell numbers first, and None is returned unless at least half of all comparisons go away.
     """
     seeds = points.select("vector", F.xxhash64("point_id").alias("h")).orderBy("h").limit(pivots).drop("h").toArrow()
-    centre, _ = _matrix(seeds.column("vector"))
+    centre, _ = _matrix(seeds.column("vector"), dim)
     if not len(centre):
         return None
     ship = points.sparkSession.sparkContext.broadcast(centre)
@@ -502,43 +596,57 @@ def _pivot_cells(points: DataFrame, threshold: float, pivots: int, must_cut: boo
 
     def angles(batches):
         for batch in batches:
-            matrix, rows = _matrix(batch.column("vector"))
-            if not len(rows) or matrix.shape[1] != ship.value.shape[1]:
-                continue
-            yield batch.take(pa.array(rows)), np.arccos(np.clip(matrix @ ship.value.T, -1, 1))
+            matrix, rows = _matrix(batch.column("vector"), dim)
+            if len(rows):
+                yield batch, rows, np.arccos(np.clip(matrix @ ship.value.T, -1, 1))
 
     def home(batches):
-        for kept, angle in angles(batches):
+        for batch, rows, angle in angles(batches):
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([kept.column("point_id"), kept.column("vector"), pa.array(angle.argmin(axis=1).astype(np.int32))], names=["point_id", "vector", "cell"])
+
+    def extent(batches):
+        radius, members = np.full(len(ship.value), -np.inf), np.zeros(len(ship.value), np.int64)
+        for _, _, angle in angles(batches):
             cell = angle.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [kept.column("point_id"), kept.column("vector"), pa.array(cell.astype(np.int32)), pa.array(angle.min(axis=1))],
-                names=["point_id", "vector", "cell", "angle"])
+            np.maximum.at(radius, cell, angle.min(axis=1))
+            members += np.bincount(cell, minlength=len(members))
+        used = np.flatnonzero(members)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(radius[used]), pa.array(members[used])], names=["cell", "r", "n"])
 
     base = points.select("point_id", "vector")
-    schema = T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
-    homes = base.mapInArrow(home, schema)
+    homes = base.mapInArrow(home, T.StructType([*base.schema.fields, T.StructField("cell", T.IntegerType())]))
     radius, at_home = np.full(len(centre), -np.inf), np.zeros(len(centre))
-    for row in homes.groupBy("cell").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+    for row in base.mapInArrow(extent, "cell int, r double, n long").groupBy("cell").agg(F.max("r").alias("r"), F.sum("n").alias("n")).collect():  # one row per pivot
         radius[row["cell"]], at_home[row["cell"]] = row["r"], row["n"]
 
+    def near_cells(angle):
+        own = angle.argmin(axis=1)
+        return own, (angle <= radius + reach + _ANGLE_SLACK) & (np.arange(angle.shape[1]) >= own[:, None])
+
+    def visit(batches):
+        seen = np.zeros(len(radius), np.int64)
+        for _, _, angle in angles(batches):
+            seen += near_cells(angle)[1].sum(axis=0)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], names=["cell", "n"])
+
+    if must_cut:
+        visits = base.mapInArrow(visit, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # one row per pivot
+        if sum(at_home[row["cell"]] * row["n"] for row in visits) > at_home.sum() ** 2 / 4:
+            return None
+
     def probe(batches):
-        for kept, angle in angles(batches):
-            own = angle.argmin(axis=1)
-            cells = np.arange(angle.shape[1])
-            near = (angle <= radius + reach + _ANGLE_SLACK) & (cells >= own[:, None])
+        for batch, rows, angle in angles(batches):
+            own, near = near_cells(angle)
             row, cell = np.nonzero(near)
-            taken = kept.take(pa.array(row))
+            taken = batch.take(pa.array(rows[row]))
             yield pa.RecordBatch.from_arrays(
                 [taken.column("point_id"), taken.column("vector"), pa.array(own[row].astype(np.int32)), pa.array(cell.astype(np.int32))],
                 names=["point_id", "vector", "own", "cell"])
 
     p_schema = T.StructType([*base.schema.fields, T.StructField("own", T.IntegerType()), T.StructField("cell", T.IntegerType())])
-    probes = base.mapInArrow(probe, p_schema)
-    if must_cut:
-        visits = {row["cell"]: row["count"] for row in probes.groupBy("cell").count().collect()}  # one row per pivot
-        if sum(at_home[cell] * n for cell, n in visits.items()) > at_home.sum() ** 2 / 4:
-            return None
-    return homes.drop("angle"), probes
+    return homes, base.mapInArrow(probe, p_schema)
 
 
 def similar_pairs(
@@ -549,7 +657,7 @@ def similar_pairs(
     tile_rows: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
-    """(id_a, id_b, score) for unordered pairs with cosine above the threshold, id_a < id_b. Exact."""
+    """(id_a, id_b, score) for unordered pairs of one dimension with cosine above the threshold, id_a < id_b. Exact."""
     tile = PAIR_TILE_ROWS if tile_rows is None else tile_rows
     cap = BROADCAST_QUERIES if broadcast_queries is None else broadcast_queries
     base = points.select("point_id", "vector")
@@ -566,8 +674,12 @@ def similar_pairs(
         return hits.select(F.col("query_id").alias("id_a"), F.col("point_id").alias("id_b"), "score")
 
     def meet(left: pa.Table, right: pa.Table, both_ways: bool) -> pa.Table:
-        a, a_rows = _matrix(left.column("vector"))
-        b, b_rows = _matrix(right.column("vector"))
+        shared = set(_dimensions(left.column("vector"))) & set(_dimensions(right.column("vector")))
+        return pa.concat_tables([arrow.empty_table(), *(meet_of(left, right, dim, both_ways) for dim in sorted(shared))])
+
+    def meet_of(left: pa.Table, right: pa.Table, dim: int, both_ways: bool) -> pa.Table:
+        a, a_rows = _matrix(left.column("vector"), dim)
+        b, b_rows = _matrix(right.column("vector"), dim)
         if not len(a_rows) or not len(b_rows):
             return arrow.empty_table()
         a_ids = left.column("point_id").combine_chunks().take(pa.array(a_rows))
@@ -591,9 +703,11 @@ def similar_pairs(
     if n_pivots is None:
         rows = base.count() if threshold >= 0.5 else 0
         n_pivots = min(1024, int(rows ** 0.5 / 4)) if rows >= PIVOT_ROWS else 0
-    cells = _pivot_cells(base, threshold, n_pivots, pivots is None) if n_pivots else None
+    main = _main_dimension(base) if n_pivots else 0
+    cells = _pivot_cells(base.where(F.size("vector") == main), main, threshold, n_pivots, pivots is None) if main else None
     if cells is not None:
         homes, probes = cells
+        rest = similar_pairs(base.where(F.size("vector") != main), threshold, broadcast_queries=broadcast_queries, tile_rows=tile_rows, pivots=0)
         tagged_h, h_sizes = _spread(homes, ["cell"], tile, "point_id", "h_tile", "h_tiles")
         tagged_p, p_sizes = _spread(probes, ["cell"], tile, "point_id", "p_tile", "p_tiles")
         left = tagged_p.join(h_sizes, "cell").withColumn("h_tile", _every("h_tiles"))
@@ -608,7 +722,7 @@ def similar_pairs(
             return pa.concat_tables([same, cross])
 
         keys = ("cell", "p_tile", "h_tile")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(in_cell, out)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(in_cell, out).unionByName(rest)
 
     i_role, j_role = _pair_tiles(base, tile)
 
@@ -621,92 +735,101 @@ def similar_pairs(
 
 
 _BINS = 65_536
+_STATS_SAMPLE = 1024  # vectors whose pairs bracket the median before the pass over all pairs
+_BRACKET = 0.05       # the bracket reaches so far below and above the middle of the sample's pairs, as a share of them
+
+
+def _bracket(points: DataFrame) -> tuple[float, float]:
+    """A range of scores that should hold the median: quantiles of all pairs of a fixed sample (smallest id hashes)."""
+    sample = points.select("vector", F.xxhash64("point_id").alias("h")).orderBy("h").limit(_STATS_SAMPLE).drop("h").toArrow()
+    found = []
+    for dim in _dimensions(sample.column("vector")):
+        x, _ = _matrix(sample.column("vector"), dim)
+        found.append((x @ x.T)[np.triu_indices(len(x), 1)])
+    scores = np.concatenate(found) if found else np.zeros(0)
+    if not len(scores):
+        return -1.0, 1.0 + 1e-9
+    low, high = np.quantile(scores, [0.5 - _BRACKET, 0.5 + _BRACKET])
+    return float(low) - 1e-9, float(high) + 1e-9
 
 
 def similarity_stats(points: DataFrame, *, tile_rows: int | None = None) -> DataFrame:
-    """pairs, mean, std (population), min, max and median of cosine over all unordered pairs.
+    """pairs, mean, std (population), min, max and median of cosine over all unordered pairs of one dimension.
 
-    Tiles return histograms, not pairs. The median rank is located in a coarse histogram over [-1, 1] and
-    then in a fine one over the coarse bin, which fixes it to within 5e-10.
+    One pass over the tiles of pairs: tiles return sums, extremes, the counts below and above a bracket of the median and a histogram inside it, never pairs. The bracket
+    comes from a bounded sample. The median is exact where its bin holds one score, else within half a bin (5e-7 at most, usually below 1e-7). Only if the sample
+    misled and the median lies outside, the pass is run again over the side that has it.
     """
     tile = PAIR_TILE_ROWS if tile_rows is None else tile_rows
     base = points.select("point_id", "vector")
+    spark = points.sparkSession
     schema = T.StructType([
         T.StructField("bin", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()),
         T.StructField("ss", T.DoubleType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
     ])
     arrow = _arrow_schema(schema)
 
-    def histogram(low: float, width: float) -> DataFrame:
-        """Counts per bin of `width` from `low`, over pair scores inside [low, low + BINS * width]."""
+    def one_pass(low: float, high: float) -> "pa.Table":
+        """Per bin of the bracket, and for what is below (-1) and above (BINS), the number, sums and extremes of the scores."""
         i_role, j_role = _pair_tiles(base, tile)
+        width = (high - low) / _BINS
 
         def tiles(a: pa.Table, b: pa.Table) -> pa.Table:
             if not a.num_rows or not b.num_rows:
                 return arrow.empty_table()
             same = a.column("i")[0].as_py() == a.column("j")[0].as_py()
-            if same:
-                b = a
-            x, _ = _matrix(a.column("vector"))
-            y, _ = _matrix(b.column("vector"))
-            n, s, ss = (np.zeros(_BINS) for _ in range(3))
-            lo, hi = np.full(_BINS, np.inf), np.full(_BINS, -np.inf)
-            step = max(1, _BLOCK_CELLS // max(1, len(y)))
-            for start in range(0, len(x), step):
-                scores = x[start:start + step] @ y.T
-                if same:
-                    scores = scores[np.arange(len(scores))[:, None] + start < np.arange(len(y))[None, :]]
-                scores = scores.ravel()
-                where = np.floor((scores - low) / width).astype(np.int64)
-                if width == 2.0 / _BINS:
-                    where = np.clip(where, 0, _BINS - 1)
-                else:
-                    inside = (where >= 0) & (where < _BINS)
-                    where, scores = where[inside], scores[inside]
-                n += np.bincount(where, minlength=_BINS)
-                s += np.bincount(where, scores, minlength=_BINS)
-                ss += np.bincount(where, scores * scores, minlength=_BINS)
-                np.minimum.at(lo, where, scores)
-                np.maximum.at(hi, where, scores)
+            n, s, ss = (np.zeros(_BINS + 2) for _ in range(3))
+            lo, hi = np.full(_BINS + 2, np.inf), np.full(_BINS + 2, -np.inf)
+            for dim in sorted(set(_dimensions(a.column("vector"))) & set(_dimensions(b.column("vector")))):
+                x, _ = _matrix(a.column("vector"), dim)
+                y = x if same else _matrix(b.column("vector"), dim)[0]
+                step = max(1, _BLOCK_CELLS // max(1, len(y)))
+                for start in range(0, len(x), step):
+                    scores = x[start:start + step] @ y.T
+                    if same:
+                        scores = scores[np.arange(len(scores))[:, None] + start < np.arange(len(y))[None, :]]
+                    scores = scores.ravel()
+                    where = np.clip(np.floor((scores - low) / width), -1, _BINS).astype(np.int64) + 1
+                    n += np.bincount(where, minlength=_BINS + 2)
+                    s += np.bincount(where, scores, minlength=_BINS + 2)
+                    ss += np.bincount(where, scores * scores, minlength=_BINS + 2)
+                    order = np.argsort(where, kind="stable")
+                    used, first = np.unique(where[order], return_index=True)
+                    if len(used):
+                        lo[used] = np.minimum(lo[used], np.minimum.reduceat(scores[order], first))
+                        hi[used] = np.maximum(hi[used], np.maximum.reduceat(scores[order], first))
             used = np.flatnonzero(n)
             return pa.Table.from_arrays(
-                [pa.array(used), pa.array(n[used].astype(np.int64)), pa.array(s[used]), pa.array(ss[used]), pa.array(lo[used]), pa.array(hi[used])],
+                [pa.array(used - 1), pa.array(n[used].astype(np.int64)), pa.array(s[used]), pa.array(ss[used]), pa.array(lo[used]), pa.array(hi[used])],
                 schema=arrow)
 
         made = i_role.groupBy("i", "j").cogroup(j_role.groupBy("i", "j")).applyInArrow(tiles, schema)
         return made.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-                                       F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                                       F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").toPandas()  # at most BINS + 2 rows
 
-    width = 2.0 / _BINS
-    coarse = histogram(-1.0, width).toPandas().sort_values("bin")  # at most BINS rows
-    names = ("pairs", "mean", "std", "min", "max", "median")
     out = "pairs long, mean double, std double, min double, max double, median double"
-    total = int(coarse["n"].sum())
+    bins = one_pass(*_bracket(base))
+    total = int(bins["n"].sum())
     if not total:
-        return points.sparkSession.createDataFrame([(0, None, None, None, None, None)], out)
-    fine_of: dict[int, object] = {}
+        return spark.createDataFrame([(0, None, None, None, None, None)], out)
 
     def at_rank(rank: int) -> float:
-        upto = coarse["n"].cumsum().to_numpy()
-        at = int(np.searchsorted(upto, rank, side="right"))
-        row = coarse.iloc[at]
-        if row["lo"] == row["hi"]:
-            return float(row["lo"])
-        bin_no = int(row["bin"])
-        if bin_no not in fine_of:
-            low = -1.0 + bin_no * width
-            fine_of[bin_no] = histogram(low, width / _BINS).toPandas().sort_values("bin")
-        fine = fine_of[bin_no]
-        before = 0 if at == 0 else int(upto[at - 1])
-        inner = int(np.searchsorted(fine["n"].cumsum().to_numpy(), rank - before, side="right"))
-        hit = fine.iloc[min(inner, len(fine) - 1)]
-        return float((hit["lo"] + hit["hi"]) / 2)
-
-    mean = float(coarse["s"].sum() / total)
-    std = float(np.sqrt(max(0.0, coarse["ss"].sum() / total - mean * mean)))
-    median = at_rank(total // 2) if total % 2 else (at_rank(total // 2 - 1) + at_rank(total // 2)) / 2
-    row = (total, mean, std, float(coarse["lo"].min()), float(coarse["hi"].max()), median)
-    return points.sparkSession.createDataFrame([row], out)
+        """The score at a rank; a range that turns out to hold it outside the bracket is passed again."""
+        table = bins
+        while True:
+            upto = table["n"].cumsum().to_numpy()
+            at = int(np.searchsorted(upto, rank, side="right"))
+            row = table.iloc[at]
+            if row["lo"] == row["hi"] or (0 <= row["bin"] < _BINS and row["hi"] - row["lo"] <= 1e-6):
+                return float((row["lo"] + row["hi"]) / 2)
+            low, high = float(row["lo"]), float(row["hi"]) + 1e-12
+            table = one_pass(low, high)
+
+    mean = float(bins["s"].sum() / total)
+    std = float(np.sqrt(max(0.0, bins["ss"].sum() / total - mean * mean)))
+    middle = sorted({(total - 1) // 2, total // 2})
+    median = float(np.mean([at_rank(r) for r in middle]))
+    return spark.createDataFrame([(total, mean, std, float(bins["lo"].min()), float(bins["hi"].max()), median)], out)
 
 
 def collection_stats(points: DataFrame, dim: int) -> DataFrame:

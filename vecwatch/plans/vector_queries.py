@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text, vectors
-from ..operators import diversity, predicates as P, searches, similarity as S, watchlist as L
-from ..sources import tables
+from ..operators import cells, diversity, hashed_pairs, predicates as P, searches, similarity as S, watchlist as L
+from ..sources import points as stored_points, tables
 from .domain import uuid_of
 from .registry import query, r6, ts
 
@@ -88,6 +88,87 @@ def _(d):
     return S.collection_stats(d["v_evidence"], 64)
 
 
+_SHORT = "case when {a}.vec_id % 5 = 0 then {a}.embedding[1:24] else {a}.embedding end"
+
+
+def _mixed(d):
+    """Vectors of two dimensions: every fifth is cut to 24 cells."""
+    n = F.col("vec_id")
+    return d["embeddings"].select(F.concat(F.lit("x-"), n.cast("string")).alias("point_id"), (n % 3).cast("string").alias("user_id"),
+                                  F.when(n % 5 == 0, F.slice("embedding", 1, 24)).otherwise(F.col("embedding")).alias("vector"))
+
+
+_MIXED_SQL = f"""select vec_id, concat('x-', cast(vec_id as string)) as point_id, vec_id % 3 as tenant, {_SHORT.format(a='e')} as vector from embeddings e"""
+
+
+@query("mixed_dimensions_topk", f"""
+    with m as ({_MIXED_SQL}),
+    s as (select q.point_id as query_id, p.point_id, case when len(q.vector) = len(p.vector) then {COS.format(a='q', b='p')} end as score
+          from m q join m p on q.tenant = p.tenant and q.point_id <> p.point_id where q.vec_id % 7 < 3 and p.vec_id % 2 = 1),
+    k as (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from s where score >= 0.1)
+    select form, query_id, point_id, cast(rank as int) as rank, round(score, 6) as score
+    from k, (values ('broadcast'), ('one partition'), ('shipped'), ('tiled')) as f(form) where rank <= 4""")
+def _(d):
+    rows, n = _mixed(d), F.substring("point_id", 3, 20).cast("long")
+    asked = _as_queries(rows.where(n % 7 < 3), "user_id")
+    held = rows.where(n % 2 == 1)
+    forms = {"broadcast": (held.repartition(5), {}), "one partition": (held.coalesce(1), {}), "shipped": (held, {"broadcast_queries": d["embeddings"].where("vec_id % 2 = 1").count()}),
+             "tiled": (held, {"broadcast_queries": 0, "tile_rows": 60})}
+    out = None
+    for form, (points, physical) in forms.items():
+        many = asked
+        if form == "shipped":  # more queries than points: every query is also asked under another tenant, where it finds nothing
+            many = asked.unionByName(asked.withColumn("q_user_id", F.lit("none")).withColumn("query_id", F.concat(F.lit("y"), "query_id")))
+        found = S.best_per_query(S.score_join(many, points, threshold=0.1, k=5, scope=("user_id",), **physical).where("query_id <> point_id"), 4)
+        found = found.select(F.lit(form).alias("form"), "query_id", "point_id", "rank", r6("score").alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("mixed_dimensions_pairs", f"""
+    with m as ({_MIXED_SQL}),
+    s as (select a.point_id as id_a, b.point_id as id_b, case when len(a.vector) = len(b.vector) then {COS.format(a='a', b='b')} end as score from m a join m b on a.point_id < b.point_id)
+    select form, id_a, id_b, round(score, 6) as score from s, (values ('broadcast'), ('pivots'), ('tiled')) as f(form) where score > 0.38""")
+def _(d):
+    rows, out = _mixed(d), None
+    for form, physical in (("broadcast", {}), ("pivots", {"broadcast_queries": 0, "tile_rows": 90, "pivots": 6}), ("tiled", {"broadcast_queries": 0, "tile_rows": 90})):
+        found = S.similar_pairs(rows, 0.38, **physical).select(F.lit(form).alias("form"), "id_a", "id_b", r6("score").alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("mixed_dimensions_stats", f"""
+    with m as ({_MIXED_SQL}),
+    s as (select {COS.format(a='a', b='b')} as x from m a join m b on a.point_id < b.point_id and len(a.vector) = len(b.vector))
+    select count(*) as pairs, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(min(x), 6) as "min", round(max(x), 6) as "max" from s""")
+def _(d):
+    return S.similarity_stats(_mixed(d), tile_rows=150).select("pairs", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query("similar_pairs_lsh", f"""
+    select count(*) as exact_pairs, 0 as unconfirmed, 0 as repeated, true as recall_reached
+    from v_evidence a join v_evidence b on a.point_id < b.point_id where {COS.format(a='a', b='b')} > 0.35""")
+def _(d):
+    points = d["v_evidence"]
+    exact = S.similar_pairs(points, 0.35).select("id_a", "id_b", F.lit(True).alias("exact"))
+    found = hashed_pairs.similar_pairs_lsh(points, 0.35, recall=0.95, tile_rows=200).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("times"))
+    met = exact.join(found, ["id_a", "id_b"], "full")
+    counted = met.agg(F.count("exact").alias("exact_pairs"), F.count_if(F.col("exact").isNull()).cast("int").alias("unconfirmed"), F.count_if(F.col("times") > 1).cast("int").alias("repeated"),
+                      F.count_if(F.col("exact") & F.col("times").isNotNull()).alias("hit"))
+    return counted.select("exact_pairs", "unconfirmed", "repeated", (F.col("hit") >= 0.9 * F.col("exact_pairs")).alias("recall_reached"))
+
+
+@query("neighbour_lists_cells", f"""
+    with s as (select q.point_id as query_id, p.point_id, p.camera_id, {COS.format(a='q', b='p')} as score from v_watch q join v_evidence p on q.user_id = p.user_id),
+    k as (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from s)
+    select query_id, point_id, camera_id, cast(rank as int) as rank, round(score, 6) as score from k where rank <= 10""")
+def _(d):
+    root, points = tables.scratch_root(d.spark), d["v_evidence"].select("point_id", "vector", "user_id", "camera_id")
+    cells.build(points, root, 32)
+    found = cells.Layout(d.spark, root, points.schema).search(_as_queries(d["v_watch"], "user_id"), 10, scope=("user_id",), payload=("camera_id",))
+    return found.select("query_id", "point_id", "camera_id", "rank", r6("score").alias("score"))
+
+
 # --- watch-list ----------------------------------------------------------------
 _MATCH = ("matched_qdrant_point_id", "blacklist_entry_id", "blacklist_reference_id", "blacklist_entry_name", "blacklist_entry_version",
           "blacklist_reference_url", "evidence_id", "evidence_camera_id", "matched_image_index")
@@ -402,6 +483,48 @@ def _(d):
     return kept.select("point_id").unionByName(tables.delete_batch(tables.delete_batch(d["v_index"], []), gone).select("point_id"))
 
 
+_LEFT_SQL = f"""
+    with gone as (select id from v_wl_entries where not active),
+    held as (select *, point_id in (select qdrant_point_id from v_wl_embs where entry_id in (select id from gone)) as removed from v_watch),
+    s as (select f.point_id as frame, p.point_id, p.blacklist_entry_id as entry_id, {COS.format(a='f', b='p')} as score
+          from v_evidence f join held p on f.user_id = p.user_id where not p.removed and f.vector[1] > 0),
+    k as (select *, row_number() over (partition by frame order by score desc, point_id) as rank from s where score >= {_T})
+    select frame, point_id, entry_id, cast(rank as int) as rank, round(score, 6) as score from k where rank <= 5"""
+
+
+@query("delete_entries_then_search", _LEFT_SQL)
+def _(d):
+    """Deletes of inactive entries persist in a partitioned table; a search of it meets nothing of theirs."""
+    store = stored_points.PointTable(d.spark, tables.scratch_root(d.spark), buckets=4)
+    store.upsert(d["v_evidence"].unionByName(d["v_watch"]))
+    entries = d["v_wl_entries"]
+    stored_points.delete_entries(entries.where("not active"), entries, d["v_wl_refs"], d["v_wl_embs"], store)
+    again = stored_points.PointTable(d.spark, store.path.rsplit("/", 1)[0], buckets=4)
+    asked = again.rows(C.SOURCE_EVIDENCE).where("vector[0] > 0")
+    found = S.similarity_search(_as_queries(asked, "user_id"), again.of_tenants(C.SOURCE_BLACKLIST, asked), 5, _T, scope=("user_id",), payload=("blacklist_entry_id",))
+    return found.select(F.col("query_id").alias("frame"), "point_id", F.col("blacklist_entry_id").alias("entry_id"), "rank", r6("score").alias("score"))
+
+
+@query("partitioned_points", """
+    select source_type, user_id, count(*) as n, count(*) filter (where image_url like '%#2') as fresh from (
+      select source_type, case when label = 4 then 'user-9' else user_id end as user_id, case when camera_id = 'cam-2' then concat(image_url, '#2') else image_url end as image_url
+      from (select v.*, e.label from v_evidence v join embeddings e on v.point_id = concat('ev-', lpad(cast(e.vec_id as string), 9, '0'))) where camera_id <> 'cam-5'
+      union all select source_type, user_id, image_url from v_watch where user_id <> 'user-1')
+    group by source_type, user_id""")
+def _(d):
+    """Upserts that replace, move a tenant's points and add, deletes by id and of a whole tenant, read back from storage."""
+    store, mine = stored_points.PointTable(d.spark, tables.scratch_root(d.spark), buckets=8), d["v_evidence"]
+    label = F.element_at("category", 1)
+    store.upsert(mine.where("camera_id <> 'cam-2'").unionByName(d["v_watch"]))
+    moved = mine.where(label == "4").withColumn("user_id", F.lit("user-9")).unionByName(mine.where((label != "4") & (F.col("camera_id") == "cam-2")))
+    told = moved.withColumn("image_url", F.when(F.col("camera_id") == "cam-2", F.concat("image_url", F.lit("#2"))).otherwise(F.col("image_url")))
+    store.upsert(told.withColumn("seq", F.lit(2)).unionByName(moved.where("camera_id = 'cam-2'").withColumn("seq", F.lit(1))), "seq")
+    store.delete(mine.where("camera_id = 'cam-5'"))
+    store.delete_by(C.SOURCE_BLACKLIST, "user_id", d.spark.createDataFrame([("user-1",)], "user_id string"))
+    rows = store.rows()
+    return rows.groupBy("source_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("image_url").endswith("#2")).alias("fresh"))
+
+
 @query("cascade_delete", """
     with gone as (select id from v_wl_entries where not active)
     select 'entries' as kind, count(*) as n from v_wl_entries where id not in (select id from gone)
