@@ -86,3 +86,14 @@ FEED_KEYS = {
     "image_embedding_request": ("id", "status", "updated_at"),
     "image_embedding": ("id",),
 }
+
+# The field of a feed's row that is the same in every delivery of its key, if there is one: landing is cut by its day.
+FEED_TIMES = {
+    "image_search_request": "updated_at",
+    "image_search_match": None,
+    "blacklist_image_entry": "updated_at",
+    "blacklist_image_reference": "updated_at",
+    "blacklist_image_embedding": "created_at",
+    "image_embedding_request": "updated_at",
+    "image_embedding": "created_at",
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import registry, report_queries, table_queries, vector_queries  # noqa: F401  (registration)
+from . import registry, report_queries, stream_queries, table_queries, vector_queries  # noqa: F401  (registration)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -503,7 +503,7 @@ def _(d):
     return one(d["v_entries"], "entries").unionByName(one(d["v_searches"].where("user_id = 'user-5'"), "searches")).unionByName(one(d["v_matches"], "matches"))
 
 
-@query("version_bumps", """
+BUMPS_SQL = """
     with p as (select entry_id, seq, patch, json_extract(patch, '$.match_threshold') is not null as has_t, cast(nullif(json_extract_string(patch, '$.match_threshold'), 'null') as double) as t,
         cast(json_extract_string(patch, '$.active') as boolean) as a from v_patches),
     j as (select p.*, e.match_threshold as t0, e.active as a0, e.blacklist_version as v0,
@@ -516,7 +516,10 @@ def _(d):
         arg_max(struct_pack(v := nullif(json_extract_string(patch, '$.category'), 'null')), seq) filter (where json_extract(patch, '$.category') is not null) as last_c from b group by entry_id)
     select e.id, cast(e.blacklist_version + coalesce(bumps, 0) as int) as blacklist_version, coalesce(last_a, active) as active,
       round(case when last_t is null then match_threshold else last_t.v end, 6) as match_threshold, coalesce(last_n, name) as name,
-      case when last_c is null then category else last_c.v end as category from v_entries e left join f on f.entry_id = e.id""")
+      case when last_c is null then category else last_c.v end as category from v_entries e left join f on f.entry_id = e.id"""
+
+
+@query("version_bumps", BUMPS_SQL)
 def _(d):
     out = L.apply_patches(d["v_entries"], d["v_patches"], ts(NOW), bucket_size=500)
     return out.select("id", "blacklist_version", "active", r6("match_threshold").alias("match_threshold"), "name", "category")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions import timing
@@ -25,14 +25,37 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, **options: str) ->
     return raw.select(body["event_type"].alias("event_type"), body["payload"].alias("payload"), stream_id.alias("stream_id"))
 
 
+def parsed(schema: T.StructType) -> Column:
+    """The payload as a struct; null when the JSON is broken. A missing payload reads as an empty object."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    body = F.from_json(F.coalesce("payload", F.lit("{}")), T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]), options)
+    return F.when(body["_broken"].isNull() & body.isNotNull(), F.struct(*[body[f.name].alias(f.name) for f in schema]))
+
+
 def parse(df: DataFrame, event_type: str, schema: T.StructType) -> DataFrame:
     """Messages of one type with `p`, the parsed payload. `p` is null when the JSON is broken; the text is kept."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    with_flag = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    parsed = F.from_json(F.coalesce("payload", F.lit("{}")), with_flag, options)
-    mine = df.where(F.col("event_type") == event_type).withColumn("_p", parsed)
-    fields = F.struct(*[F.col(f"_p.{f.name}").alias(f.name) for f in schema])
-    return mine.withColumn("p", F.when(F.col("_p._broken").isNull() & F.col("_p").isNotNull(), fields)).drop("_p")
+    return df.where(F.col("event_type") == event_type).withColumn("p", parsed(schema))
+
+
+MOST_TYPES = 10_000  # distinct dropped event types that are counted exactly
+
+
+def opened(df: DataFrame, kinds: Mapping[str, T.StructType], counts: Observation) -> DataFrame:
+    """Messages with `p_<n>`, the payload parsed by the n-th kind where it is of that kind, and the counts of `routing_counts` observed on the way: no job of their own."""
+    known = F.coalesce(F.col("event_type").isin(*kinds), F.lit(False))
+    for n, (event_type, schema) in enumerate(kinds.items()):
+        df = df.withColumn(f"p_{n}", F.when(F.col("event_type") == event_type, parsed(schema)))
+    broken = known
+    for n in range(len(kinds)):
+        broken = broken & F.col(f"p_{n}").isNull()
+    dropped = F.when(~known, F.coalesce("event_type", F.lit("unknown")))
+    return df.observe(counts, F.count(F.lit(1)).alias("received"), F.count_if(broken).alias("rejected"), F.call_function("approx_top_k", dropped, F.lit(MOST_TYPES), F.lit(MOST_TYPES * 10)).alias("dropped"))
+
+
+def routing_counts(counts: Observation) -> dict:
+    """What was received, rejected as unreadable, and dropped per unknown event type, once the observed messages were first read."""
+    got = counts.get
+    return {"received": got["received"], "rejected": got["rejected"], "dropped": {r["item"]: r["count"] for r in got["dropped"] or () if r["item"] is not None}}
 
 
 def split_unroutable(df: DataFrame, known: Sequence[str]) -> tuple[DataFrame, DataFrame]:
