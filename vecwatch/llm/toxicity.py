@@ -11,14 +11,13 @@ numbers. Texts are scored whole, inside Arrow batches, without a shuffle.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, unpacked
+from .common import mixed, packed, unpacked, word_hashes
 
 SAMPLE_ROWS = 4096  # bound of the labelled rows a fit uses: those with the smallest hashes of their ids
 BUCKETS = 1 << 15
@@ -27,13 +26,13 @@ GRAMS = (3, 4, 5)
 EPOCHS = 12
 BATCH = 128
 RATE = 0.02
-DECAY = 1.0
+DECAY = 0.3
 PACKED = np.float32(256.0)  # shares travel as 16-bit numbers of so many times their size; buckets, under 65,536, as 16-bit numbers too
 SCALE = np.float32(100.0)  # shares are small numbers; the softmax sees them enlarged
 MIN_DOCS = 5
-MIN_CHECKED = 100
+MIN_SHARE = 0.01  # of the sample's rows that a bucket has to be in, MIN_DOCS at least
 FOLDS = 3
-CONTRADICTED = 0.2
+BETA = 2.0
 SEED = 5
 THRESHOLD = 0.3
 CACHED_WORDS = 200_000
@@ -47,33 +46,47 @@ class Model:
     buckets: int = BUCKETS
 
 
-def word_buckets(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's subwords. A word of any length is cut in full."""
-    marked = f"<{word}>"
-    found = [marked] + [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in found]
+def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords (n-grams with word ends, and the word itself), and the number of the word each belongs to. Words of any length are cut in full."""
+    line = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    edge = line == 32
+    word = np.cumsum(edge) - 1  # a mark counts to the word after it
+    out, of = [(word_hashes([w.encode("utf-8", "replace") for w in words]) % np.uint64(buckets)).astype(np.int64)], [np.arange(len(words))]
+    for n in GRAMS:
+        m = len(line) - n + 1
+        if m <= 0:
+            continue
+        inner = edge[:m] & edge[n - 1 : n - 1 + m]  # the whole word again, or two marks of neighbours
+        for i in range(1, n - 1):
+            inner |= edge[i : i + m]
+        at = np.flatnonzero(~inner)
+        value = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            value = value * np.uint64(0x100000001B3) + line[at + i]
+        out.append((mixed(value) % np.uint64(buckets)).astype(np.int64))
+        of.append(word[at])
+    return np.concatenate(out), np.concatenate(of)
 
 
 def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares in its mean; a text without words has none."""
-    shares: dict[int, float] = {}
     words = TOKEN.findall((text or "").lower())
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    for w, n in counts.items():
-        own = word_buckets(w, buckets)
-        part = n / (len(words) * len(own))
-        for b in own:
-            shares[b] = shares.get(b, 0.0) + part
-    return np.fromiter(shares, np.int32, len(shares)), np.fromiter(shares.values(), np.float32, len(shares))
+    found, of = subwords(list(counts), buckets)
+    part = np.array(list(counts.values())) / len(words) / np.bincount(of)
+    used, at = np.unique(found, return_inverse=True)
+    return used.astype(np.int32), np.bincount(at, part[of]).astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS) -> Model:
     """Embeddings and softmax by Adam on mini-batches, in a fixed order, so a fit can be repeated. Shares come enlarged by PACKED. One class only, or no row: a constant.
 
-    Shares are weighted by the rarity of their bucket, buckets of fewer than MIN_DOCS rows are left out. With MIN_CHECKED rows of each class the sample is
-    first fitted without a third of it at a time, and rows whose label the others' model clearly contradicts are left out of the final fit.
+    Shares are weighted by the rarity of their bucket, buckets in few rows are left out. Every row of the sample counts.
+    A fit's margins on its own rows say little, so the bias is moved by the margins that models of the other folds give to each row: THRESHOLD is where these are cut best (`cut_of`).
     """
     positive, n = int(labels.sum()), len(labels)
     if positive in (0, n):
@@ -81,21 +94,25 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
     docs = np.zeros(buckets)
     for at, _ in bags:
         docs[at] += 1
-    rarity = np.where(docs >= MIN_DOCS, np.log((n + 1) / (docs + 1)), 0).astype(np.float32)
+    rarity = np.where(docs >= max(MIN_DOCS, MIN_SHARE * n), np.log((n + 1) / (docs + 1)), 0).astype(np.float32)
     rarity /= PACKED
-    keep = np.ones(n, bool)
-    if min(positive, n - positive) >= MIN_CHECKED:
-        fold = np.arange(n) % FOLDS
-        for k in range(FOLDS):
-            others, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            weights, bias = _adam([bags[i] for i in others], labels[others], rarity)
-            z = np.array([bias + float((weights * rarity)[bags[i][0]] @ bags[i][1].astype(np.float32)) for i in own])
-            keep[own] = np.abs(labels[own] - 1 / (1 + np.exp(-np.clip(z, -50, 50)))) <= 1 - CONTRADICTED
-        if keep[labels == 1].mean() < 0.5:
-            keep[:] = True  # models that miss most of a class say nothing about its labels
-    rows = np.flatnonzero(keep)
-    weights, bias = _adam([bags[i] for i in rows], labels[rows], rarity)
-    return Model(weights * rarity * PACKED, bias, buckets)
+    z, fold = np.zeros(n), np.arange(n) % FOLDS
+    for k in range(FOLDS):
+        others, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        weights, bias = _adam([bags[i] for i in others], labels[others], rarity)
+        z[own] = [bias + float((weights * rarity)[bags[i][0]] @ bags[i][1].astype(np.float32)) for i in own]
+    weights, bias = _adam(bags, labels, rarity)
+    return Model(weights * rarity * PACKED, bias + np.log(THRESHOLD / (1 - THRESHOLD)) - cut_of(z, labels), buckets)
+
+
+def cut_of(z: np.ndarray, labels: np.ndarray, beta: float = BETA) -> float:
+    """The margin from which on calling a row toxic gives the best F-measure; recall counts `beta` times as much as precision. The mean of it and the next margin below."""
+    order = np.argsort(-z, kind="stable")
+    hits, called = np.cumsum(labels[order]), np.arange(1, len(z) + 1)
+    ends = np.flatnonzero(np.diff(z[order], append=-np.inf))  # equal margins are called together
+    score = (1 + beta**2) * hits[ends] / (beta**2 * labels.sum() + called[ends])
+    at = ends[int(score.argmax())]
+    return float(z[order[at]] if at + 1 == len(z) else (z[order[at]] + z[order[at + 1]]) / 2)
 
 
 def _adam(bags, labels: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, float]:
@@ -131,6 +148,7 @@ def _adam(bags, labels: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, flo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most `rows` labelled rows of `docs`, whole texts. Rows with a null id or label are left out; of several labels of an id the largest counts."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text of a repeated id: the bound holds
@@ -149,16 +167,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
 
 class _Words(dict):
-    """Margins of words, looked up once each while the table holds."""
+    """Margins of words, worked out once each while the table holds."""
 
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHED_WORDS:
+    def of(self, words: list[str]) -> list[float]:
+        if len(self) > CACHED_WORDS:
             self.clear()
-        self[word] = value = float(self.model.weights[word_buckets(word, self.model.buckets)].mean())
-        return value
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            found, of = subwords(part, self.model.buckets)
+            self.update(zip(part, (np.bincount(of, self.model.weights[found]) / np.bincount(of)).tolist()))
+        return list(map(self.__getitem__, words))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -172,7 +194,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column("row").field("text").to_pylist():
-                found = list(map(words.__getitem__, TOKEN.findall((text or "").lower())))
+                found = words.of(TOKEN.findall((text or "").lower()))
                 z = shared.value.bias + (sum(found) / len(found) if found else 0.0)
                 out.append(1.0 / (1.0 + np.exp(-min(max(z, -50.0), 50.0))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], names=["row", column])
