@@ -217,14 +217,21 @@ def _far_rest(shared: DataFrame, told: DataFrame, roots: DataFrame, sizes: DataF
     distance = 1 - F.col("inside") / (F.col("size_b") + F.col("size_a") - F.col("inside"))
     known = told.join(sizes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("size_a")), "a").select(
         F.col("a").alias("lead"), F.col("b").alias("cls"), distance.alias("d"), F.col("outside").isNotNull().alias("near"))
-    rows = _rooted(shared.where("cls <> lead"), roots, "cls", "root")
-    split = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(split, "key", "left_semi").join(known, ["lead", "cls"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    far = rows.where(~F.col("near")).groupBy("key").agg(F.count(F.lit(1)).alias("n_far")).select("key")
-    rows = stored(rows.join(far, "key", "left_semi").join(sizes, "cls").select("key", "cls", "root", "d", "near", "n_shingles", "mins"))
-    x, y = rows.where(~F.col("near")).select(*[F.col(c).alias(f"{c}_x") for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_y") for c in rows.columns])
-    # distances obey the triangle inequality; a pair the lead was not compared with has no distance
-    apart = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    rows = _rooted(shared.where("cls <> lead"), roots, "cls", "root").join(sizes.select("cls", "n_shingles"), "cls")
+    rows = rows.join(known, ["lead", "cls"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    # what a component has in a key is first told by ranges; its members are looked at only where the ranges leave a link possible
+    blocks = rows.groupBy("key", "root", "near").agg(
+        F.min(F.coalesce("d", F.lit(0.0))).alias("d_lo"), F.max(F.coalesce("d", F.lit(1.0))).alias("d_hi"), F.min("n_shingles").alias("n_lo"), F.max("n_shingles").alias("n_hi"))
+    split = blocks.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("near")).alias("far")).where("lo < hi and far > 0").select("key")
+    blocks = stored(blocks.join(split, "key", "left_semi"))
+    bx, by = blocks.where("not near").select(*[F.col(c).alias(f"{c}_x") for c in blocks.columns]), blocks.select(*[F.col(c).alias(f"{c}_y") for c in blocks.columns])
+    slack = 1 - percent / 100 + 1e-9  # distances obey the triangle inequality; a class the lead was not compared with may be at any
+    open_pairs = stored(bx.join(by, (F.col("key_x") == F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("d_lo_x") - F.col("d_hi_y") <= slack) & (F.col("d_lo_y") - F.col("d_hi_x") <= slack)
+                                & (100 * F.least("n_hi_x", "n_hi_y") >= percent * F.greatest("n_lo_x", "n_lo_y"))).select(F.col("key_x").alias("key"), "root_x", "root_y", F.col("near_y").alias("near")))
+    asked = open_pairs.select("key", F.col("root_x").alias("root"), F.lit(False).alias("near")).union(open_pairs.select("key", F.col("root_y").alias("root"), "near")).distinct()
+    rows = stored(rows.join(asked, ["key", "root", "near"], "left_semi").join(sizes.select("cls", "mins"), "cls").select("key", "cls", "root", "d", "near", "n_shingles", "mins"))
+    x, y = rows.where("not near").select(*[F.col(c).alias(f"{c}_x") for c in rows.columns]), rows.select(*[F.col(c).alias(f"{c}_y") for c in rows.columns])
+    apart = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= slack, F.lit(True))
     once = F.col("near_y") | (F.col("cls_x") < F.col("cls_y"))
     pairs = x.join(y, (F.col("key_x") == F.col("key_y")) & once & (F.col("root_x") != F.col("root_y")) & apart
                    & _sized("n_shingles_x", "n_shingles_y", percent) & (_equal("mins_x", "mins_y") >= LEAST_EQUAL))
