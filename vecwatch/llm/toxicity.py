@@ -26,13 +26,13 @@ GRAMS = (3, 4, 5)
 EPOCHS = 12
 BATCH = 128
 RATE = 0.02
-DECAY = 0.3
+DECAY = 1.0
 PACKED = np.float32(256.0)  # shares travel as 16-bit numbers of so many times their size; buckets, under 65,536, as 16-bit numbers too
 SCALE = np.float32(100.0)  # shares are small numbers; the softmax sees them enlarged
 MIN_DOCS = 5
 MIN_SHARE = 0.01  # of the sample's rows that a bucket has to be in, MIN_DOCS at least
-FOLDS = 3
-BETA = 2.0
+FOLDS = 4
+BETA = 1.5
 SEED = 5
 THRESHOLD = 0.3
 CACHED_WORDS = 200_000
@@ -96,7 +96,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
         docs[at] += 1
     rarity = np.where(docs >= max(MIN_DOCS, MIN_SHARE * n), np.log((n + 1) / (docs + 1)), 0).astype(np.float32)
     rarity /= PACKED
-    z, fold = np.zeros(n), np.arange(n) % FOLDS
+    z, fold = np.zeros(n), np.random.default_rng(SEED).permutation(n) % FOLDS
     for k in range(FOLDS):
         others, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         weights, bias = _adam([bags[i] for i in others], labels[others], rarity)
