@@ -255,8 +255,8 @@ def test_near_group_around_a_base(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, 4).collect()} == want
 
 
-@pytest.mark.parametrize("hot", [3_000_000, 3])
-def test_bpe(docs, hot):
+@pytest.mark.parametrize("size", [bpe.SLICE_BYTES, 200])
+def test_bpe(docs, size):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(bpe.tokenizer_file())
@@ -264,7 +264,7 @@ def test_bpe(docs, hot):
     for r in ROWS:
         ids = made.encode(r[1] or "", add_special_tokens=False).ids
         want[(r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(made.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
-    assert Counter(tuple(r) for r in bpe.bpe(docs, hot_words=hot).collect()) == want
+    assert Counter(tuple(r) for r in bpe.bpe(docs, slice_bytes=size).collect()) == want
 
 
 def test_surrogates(docs):

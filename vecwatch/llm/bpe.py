@@ -1,29 +1,26 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split in Spark tasks into the pieces a tokenizer's pre-tokenizer makes. Each distinct piece of the corpus is encoded once,
-into a table of (word, ids). Ids come back to the texts by position: the table's most frequent words, as many as a stated bound, go to every task
-and are looked up in place; a word beyond that bound is joined by position through a shuffle, so the vocabulary may be of any size. Decoding
-looks ids up in the table of pieces, broadcast to every task as it is as small as the tokenizer's vocabulary, and calls the tokenizer's decoder; there is no join.
+Texts are split once, in Spark tasks, into the pieces that a tokenizer's pre-tokenizer makes. A run of documents (a slice) becomes one row: its distinct words, and per document
+the positions of its words among these. Words of all slices meet by word, where each distinct word is encoded, and decoded, once; what was found comes back to its slice by
+position, whatever the number of words. There is one plan at every size, and no text is shuffled.
+
+Decoding joins ids with the table of pieces. A tokenizer without a decoder, as the default one, joins pieces by spaces, so a word's decoded text is made once and joined back
+with its ids; a tokenizer with a decoder is called with the pieces of the whole text.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, row_key, stored, whole
+from .common import stored, whole
 
-#: Words looked up in place: a dozen bytes each and their ids, under 100 MB in all.
-HOT_WORDS = 3_000_000
-CACHED_WORDS = 150_000
-HOT_BYTES = 96 << 20
+SLICE_BYTES = 4 << 20  # text of a slice, about; a longer document is a slice of its own
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -32,7 +29,6 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
 def _loaded(definition: str):
     from tokenizers import Tokenizer
 
@@ -42,9 +38,8 @@ def _loaded(definition: str):
     return made
 
 
-@lru_cache(maxsize=4)
 def _parts(definition: str):
-    """A tokenizer's parts: normaliser, pre-tokenizer, a model that takes one ready piece, and its special strings."""
+    """A tokenizer's parts: normaliser, pre-tokenizer, a model that takes one ready piece, and its special strings. Made once per task."""
     import json
 
     from tokenizers import Tokenizer
@@ -118,149 +113,126 @@ class Splitter:
         return out
 
 
-def encode_word(definition: str, word: str) -> list[int]:
-    _, _, model, special, _ = _parts(definition)
-    if word in special:
-        return [special[word]]
-    return [t.id for t in model.model.tokenize("".join(map(BYTE_CHARS.__getitem__, word.encode())))]
+class Encoder:
+    """Ids and decoded text of single words."""
 
+    def __init__(self, definition: str):
+        _, _, model, self.special, _ = _parts(definition)
+        self.model = model.model
+        made = _loaded(definition)
+        self.names, self.decoder = {i: t for t, i in made.get_vocab(with_added_tokens=True).items()}, made.decoder
+
+    def ids(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
+        return [t.id for t in self.model.tokenize("".join(map(BYTE_CHARS.__getitem__, word.encode())))]
+
+    def pieces(self, ids: list[int]) -> list[str]:
+        """The join of ids with the table of pieces; an id without one has no piece."""
+        return [self.names[i] for i in ids if i in self.names]
+
+
+class _Slice:
+    """Documents that are written as one row."""
+
+    def __init__(self):
+        self.rows, self.counts, self.at, self.words = [], [], [], {}
+        self.size = 0
+
+    def add(self, row: dict, words: list[str], size: int) -> None:
+        known = self.words
+        self.at.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
+        self.rows.append(row)
+        self.counts.append(len(words))
+        self.size += size
+
+    def batch(self, kind: pa.DataType, number: int) -> pa.RecordBatch:
+        places = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
+        # frequent words come early and have small numbers: entropy coding takes places to about ten bits each
+        places = pa.compress(places.astype("<u2" if len(self.words) <= 1 << 16 else "<u4").tobytes(), codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([self.rows], pa.list_(kind)), pa.array([self.counts], pa.list_(pa.int32())), pa.array([places], pa.binary()), pa.array([list(self.words)], pa.list_(pa.string()))],
+            names=["slice", "rows", "counts", "places", "words"])
+
+
+def sliced(rows: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """`rows` (a struct `row`, and `text`) as slices: number, rows, words per row, places of all words in the slice's list (zstd of little-endian numbers, 2 bytes each up to 65,536 words, else 4), words."""
+    from pyspark.sql import types as T
 
-def word_name(word: str) -> tuple[int, int]:
-    """128 bits that stand for a word."""
-    import xxhash
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    name = xxhash.xxh3_128_intdigest(word.encode())
-    return name >> 64, name & 0xFFFFFFFFFFFFFFFF
+        split, made, kind = Splitter(definition), _Slice(), None
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            kind = batch.schema.field("row").type
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                if made.rows and made.size + len(text) > slice_bytes:
+                    yield made.batch(kind, number)
+                    number, made = number + 1, _Slice()
+                made.add(row, split(text), len(text))
+        if made.rows:
+            yield made.batch(kind, number)
 
+    schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())),
+                           T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(cut, schema)
 
-def word_table(docs: DataFrame, definition: str) -> DataFrame:
-    """Each distinct piece of all texts with its count, its 128-bit name and its ids (little-endian unsigned 32 bits), encoded once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(definition)
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                seen.update(split(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def word_table(slices: DataFrame, definition: str) -> DataFrame:
+    """(slice, at, ids, text) of every word of every slice: each distinct word of the corpus is in one task, where it is encoded and decoded once, however many slices have it."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, last, ids, text = Encoder(definition), None, b"", ""
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [np.array(encode_word(definition, w), "<u4").tobytes() for w in words]
-            names = np.array([word_name(w) for w in words], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(names[:, 0].view(np.int64) if len(names) else [], pa.int64()), pa.array(names[:, 1].copy().view(np.int64) if len(names) else [], pa.int64()), pa.array(ids, pa.binary())],
-                names=["word", "n", "h1", "h2", "ids"])
-
-    counted = docs.select(whole().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(encode, "word string, n long, h1 long, h2 long, ids binary")
-
-
-class Hot:
-    """The words that are looked up in place: sorted names and their ids, in flat arrays."""
-
-    def __init__(self, words: pa.Table):
-        h1, h2 = (words.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        order = np.argsort(h1, kind="stable")
-        self.h1, self.h2 = h1[order], h2[order]
-        ids = words.column("ids").cast(pa.large_binary()).combine_chunks()
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.chunk(0) if ids.num_chunks else pa.array([], pa.large_binary())
-        ids = ids.take(pa.array(order))
-        edges = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-        flat = np.frombuffer(ids.buffers()[2], np.uint8)[edges[0] : edges[-1]].view("<u4") if len(ids) else np.zeros(0, "<u4")
-        self.edges = ((edges - edges[0]) // 4).astype(np.int64 if len(flat) > 1 << 31 else np.uint32)
-        self.ids = flat.astype(np.uint16) if flat.max(initial=0) < 65536 else flat
-
-    def get(self, word: str) -> bytes | None:
-        a, b = word_name(word)
-        i = int(np.searchsorted(self.h1, np.uint64(a)))
-        while i < len(self.h1) and int(self.h1[i]) == a:
-            if int(self.h2[i]) == b:
-                return self.ids[self.edges[i] : self.edges[i + 1]].astype("<u4").tobytes()
-            i += 1
-        return None
-
-
-class _Cache(dict):
-    def __init__(self, hot: Hot):
-        self.hot = hot
-
-    def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found = self.hot.get(word)
-        return found
-
-
-def pieces(definition: str) -> list[str | None]:
-    """Piece of every id: the vocabulary's side of the decoding join."""
-    made = _loaded(definition)
-    names = {i: t for t, i in made.get_vocab(with_added_tokens=True).items()}
-    return [names.get(i) for i in range(max(names, default=-1) + 1)]
-
-
-def decoded(definition: str, table: list[str | None], ids: list[int]) -> str:
-    found = [table[i] for i in ids if i < len(table) and table[i] is not None]
-    decoder = _loaded(definition).decoder
-    return decoder.decode(found) if decoder is not None else " ".join(found)
-
-
-def encoded(docs: DataFrame, definition: str, hot_words: int = HOT_WORDS) -> DataFrame:
-    """`docs` packed as `row`, with `ids` (array of int, -1 never) and `decoded` of its whole text."""
-    spark = docs.sparkSession
-    table = stored(word_table(docs, definition))
-    # the counts of words by the power of two of their frequency (a few dozen rows) set the bound of what is looked up in place
-    levels = table.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("ids") + 24).alias("bytes")).orderBy(F.desc("e")).collect()
-    least, words, size = 1 << 62, 0, 0
-    for r in levels:
-        words, size = words + r["words"], size + r["bytes"]
-        if words > hot_words or size > HOT_BYTES:
-            break
-        least = 1 << r["e"]
-    hot = spark.sparkContext.broadcast(Hot(table.where(F.col("n") >= least).select("h1", "h2", "ids").toArrow()))
-    pa.default_memory_pool().release_unused()  # the driver needs the collected table no more
-    rows = packed(docs)
-    if words > hot_words or size > HOT_BYTES:
-        cold = table.where(F.col("n") < least).select("word", "ids")
-
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            split, cache = Splitter(definition), _Cache(hot.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part, out = batch.slice(at, 256), ([], [], [], [])
-                    for k1, k2, text in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text"))):
-                        for i, w in enumerate(split(text)):
-                            if cache[w] is None:
-                                for column, value in zip(out, (k1, k2, i, w)):
-                                    column.append(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["k1", "k2", "pos", "word"])
-
-        asked = docs.select(whole().alias("text"), *row_key("doc_id", "text")).mapInArrow(places, "k1 long, k2 long, pos long, word string")
-        found = asked.join(cold, "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("holes"))
-        rows = rows.select("row", *row_key("row.doc_id", "row.text")).join(found, ["k1", "k2"], "left").select("row", "holes")
-    else:
-        rows = rows.select("row", F.lit(None).cast("array<struct<pos:bigint,ids:binary>>").alias("holes"))
+            out_ids, out_texts = [], []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    found, last = encoder.ids(word), word
+                    ids, text = np.array(found, "<u4").tobytes(), " ".join(encoder.pieces(found))
+                out_ids.append(ids)
+                out_texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("at"), pa.array(out_ids, pa.binary()), pa.array(out_texts, pa.string())], names=["slice", "at", "ids", "text"])
 
+    words = slices.select("slice", F.posexplode("words").alias("at", "word"))
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "slice long, at int, ids binary, text string")
+
+
+def encoded(docs: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """`row` (all columns of `docs` but its text), with `ids` (binary: little-endian unsigned 32 bits each) and `decoded` of the whole text."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), whole().alias("text"))
+    slices = stored(sliced(inner, definition, slice_bytes))
+    found = word_table(slices, definition).groupBy(F.col("slice").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "ids", "text"))).alias("found"))
+    met = slices.drop("words").join(found, F.col("slice") == F.col("of"), "left").select("rows", "counts", "places", "found")
+    plain = _loaded(definition).decoder is None
+    schema = T.StructType([inner.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, cache, names = Splitter(definition), _Cache(hot.value), pieces(definition)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None if plain else Encoder(definition)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, ids, texts = batch.slice(at, 512), [], []
-                for text, holes in zip(part.column("row").field("text").to_pylist(), part.column("holes").to_pylist()):
-                    found = list(map(cache.__getitem__, split(text or "")))
-                    for hole in holes or ():
-                        found[hole["pos"]] = hole["ids"]
-                    ids.append(b"".join(found))
-                    texts.append(decoded(definition, names, np.frombuffer(ids[-1], "<u4").tolist()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
-
-    return rows.mapInArrow(encode, schema)
+            for n in range(batch.num_rows):
+                rows, counts = batch.column("rows")[n].values, batch.column("counts")[n].as_py()
+                words = batch.column("found")[n].values
+                ids = np.array(words.field("ids").to_pylist() if words is not None else [], object)
+                texts = np.array(words.field("text").to_pylist() if words is not None else [], object)
+                wide = 2 if len(ids) <= 1 << 16 else 4
+                raw = pa.decompress(batch.column("places")[n].as_buffer(), sum(counts) * wide, codec="zstd", asbytes=True) if sum(counts) else b""
+                places = np.frombuffer(raw, f"<u{wide}")
+                out_ids, out_texts, start = [], [], 0
+                for count in counts:
+                    at = places[start : start + count]
+                    start += count
+                    out_ids.append(b"".join(ids[at].tolist()))
+                    if plain:
+                        out_texts.append(" ".join(filter(None, texts[at].tolist())))
+                    else:
+                        pieces = encoder.pieces(np.frombuffer(out_ids[-1], "<u4").tolist())
+                        out_texts.append(encoder.decoder.decode(pieces))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(out_ids, pa.binary()), pa.array(out_texts, pa.string())], names=["row", "ids", "decoded"])
+
+    return met.mapInArrow(join, schema)
 
 
 def definition_of(path: str) -> str:
@@ -269,11 +241,11 @@ def definition_of(path: str) -> str:
         return file.read()
 
 
-def bpe(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
+def bpe(docs: DataFrame, path: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of `docs`.
 
     Null and empty texts, and texts of white space, have no tokens and the digests of nothing. Texts of any length are encoded whole. Repeated rows give repeated results,
     extra columns are not read, an empty table gives no rows.
     """
-    out = encoded(docs.select("doc_id", "text"), definition_of(path or tokenizer_file()), hot_words)
+    out = encoded(docs.select("doc_id", "text"), definition_of(path or tokenizer_file()), slice_bytes)
     return out.select("row.doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
