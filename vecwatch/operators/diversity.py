@@ -18,7 +18,8 @@ def _distance(a: np.ndarray, b: np.ndarray) -> float:
     mass = a.sum() * b.sum()
     overlap = np.sqrt(a * b).sum()
     scale = 1.0 / np.sqrt(mass) if abs(mass) > np.finfo(np.float32).eps else 1.0
-    return float(np.sqrt(max(0.0, 1.0 - overlap * scale)))
+    rest = 1.0 - overlap * scale
+    return float(np.sqrt(0.0 if rest < 0 else rest))  # not a number where a histogram has one: then never far enough
 
 
 def diversity_select(
@@ -82,7 +83,8 @@ def _rounds(frames: DataFrame, threshold: float, compare_all: bool, max_images:
     for _ in range(max_images - 1):
         ahead = frames.join(kept.select("group_id", F.col("pos").alias("last"), "kept"), "group_id").where(F.col("pos") > F.col("last"))
         against = F.col("kept") if compare_all else F.slice("kept", -1, 1)
-        far = F.forall(against, lambda other: vectors.bhattacharyya(F.col("hist"), other) >= threshold)
+        away = lambda d: (d >= threshold) & ~F.isnan(d)
+        far = F.forall(against, lambda other: away(vectors.bhattacharyya(F.col("hist"), other)))
         following = latest(ahead.where(far).select("group_id", "pos", "hist"), ["group_id"], [F.col("pos")])
         step = following.select("group_id", F.col("pos").alias("next"), F.col("hist").alias("next_hist"))
         grown = kept.join(step, "group_id", "left")

@@ -36,7 +36,7 @@ def stored_urls(results: DataFrame, uploads: DataFrame) -> DataFrame:
 
 def analysed() -> Column:
     """Whether an evidence result carries a weapon analysis; an empty block is none."""
-    return F.col("weapon_analysis.images").isNotNull() | F.col("weapon_analysis.summary").isNotNull()
+    return F.col("weapon_analysis").isNotNull() & (F.col("weapon_analysis.images").isNotNull() | F.col("weapon_analysis.summary").isNotNull())
 
 
 def with_frames(results: DataFrame) -> DataFrame:
@@ -152,21 +152,30 @@ def weapons_events(results: DataFrame, detected_at: Column) -> DataFrame:
                        F.when(has_model, payload(rollup.withField("model_version", model))).otherwise(payload(rollup)).alias("payload"))
 
 
-def ingest_evidence(results: DataFrame, known: DataFrame, now: Column, uploads: DataFrame | None = None) -> dict[str, DataFrame]:
+def frame_problem(dim: int | None = None) -> Column:
+    """What keeps an evidence from being stored: its first frame without a vector, or, with `dim`, with one of another dimension; null if there is none."""
+    sizes = F.transform("embeddings", lambda e, i: F.struct(i.alias("pos"), F.coalesce(F.size(e["vector"]), F.lit(0)).alias("n")))
+    wrong = F.try_element_at(F.filter(sizes, lambda s: (s["n"] <= 0) if dim is None else (s["n"] != dim)), F.lit(1))
+    name = F.concat(F.lit("frame "), wrong["pos"].cast("string"))
+    return F.when(wrong["n"] <= 0, F.concat(name, F.lit(" has no vector"))).when(wrong.isNotNull(), F.concat(name, F.lit(" has a vector of "), wrong["n"].cast("string"), F.lit(" cells")))
+
+
+def ingest_evidence(results: DataFrame, known: DataFrame, now: Column, uploads: DataFrame | None = None, dim: int | None = None) -> dict[str, DataFrame]:
     """Parsed evidence results (the EVIDENCE_RESULT fields plus stream_id) -> rows of every table they feed.
 
-    Messages without evidence id or embeddings are skipped, known evidence is skipped, and a message whose
-    entity ids are no numbers leaves one error request.
+    A message whose entity ids are no numbers cannot be read: it goes back as `dead`, leaves no row and blocks no later message. Messages without evidence id or
+    embeddings are skipped, known evidence is skipped, and an evidence with a frame that cannot be stored leaves one error request and nothing else.
     """
-    admitted = P.admit(results, P.ADMISSION["evidence_result"])
-    fresh = new_only(admitted, known, "evidence_id", timing.stream_order())
     valid = text.entities_to_category(F.col("entities"))["valid"]
-    good, bad = fresh.where(valid), fresh.where(~valid)
+    admitted = P.admit(results.where(valid), P.ADMISSION["evidence_result"])
+    fresh = new_only(admitted, known, "evidence_id", timing.stream_order()).withColumn("error", frame_problem(dim))
+    good, bad = fresh.where(F.col("error").isNull()).drop("error"), fresh.where(F.col("error").isNotNull())
     good = with_frames(good if uploads is None else stored_urls(good, uploads))
     frame_df = frames(good, now)
     ok = requests(good, now)
-    failed = error_requests(bad.withColumn("error", F.lit("entities must be integers")), now).select(*ok.columns)
+    failed = error_requests(bad, now).select(*ok.columns)
     return {
+        "dead": results.where(~valid),
         "frames": frame_df,
         "points": points(frame_df),
         "frame_rows": frame_rows(frame_df),

@@ -83,13 +83,13 @@ def search_conditions(metadata: Mapping[str, object] | None) -> dict[str, object
 
 def search_filter_columns(metadata: Column) -> list[Column]:
     """The same allow-list per row, from a JSON metadata text, as the FILTER_FIELDS of the similarity join."""
-    raw_category = F.get_json_object(metadata, "$.category")
-    as_list = F.from_json(raw_category, "array<string>")
-    listed = raw_category.startswith("[")
+    def any_of(name: str) -> Column:
+        """A scalar or a list; either way the field has to have one of the values."""
+        raw = F.get_json_object(metadata, f"$.{name}")
+        return F.when(raw.isNotNull(), F.coalesce(F.when(raw.startswith("["), F.from_json(raw, "array<string>")), F.array(raw))).alias(f"f_{name}")
+
     return [
-        F.get_json_object(metadata, "$.camera_id").alias("f_camera_id"),
-        F.get_json_object(metadata, "$.object_type").alias("f_object_type"),
-        F.when(raw_category.isNotNull(), F.when(listed, as_list).otherwise(F.array(raw_category))).alias("f_category"),
+        any_of("camera_id"), any_of("object_type"), any_of("category"),
         F.get_json_object(metadata, "$.weapons_filter").alias("f_weapons_filter"),
         F.from_json(F.get_json_object(metadata, "$.weapon_classes"), "array<string>").alias("f_weapon_classes"),
     ]

@@ -123,7 +123,8 @@ def land_searches(
     indexed = F.coalesce(_meta("search_type") == C.SEARCH_TYPE_INDEX, F.lit(False))
     found = asked.withColumn("message_user", F.when(indexed, F.coalesce(F.nullif(_meta("user_id"), F.lit("")), "user_id")).otherwise(F.col("user_id")))
     found = found.withColumn("message_type", F.when(indexed, C.SEARCH_TYPE_INDEX).otherwise(C.SEARCH_TYPE_EVIDENCE))
-    found = found.withColumn("usable", is_valid_vector(F.col("vector")))
+    # the guard against vectors without a direction belongs to index searches; an evidence search with one finds nothing and is done
+    found = found.withColumn("usable", is_valid_vector(F.col("vector")) | (F.col("message_type") == C.SEARCH_TYPE_EVIDENCE))
     found = found.select("search_id", "vector", F.col("message_user").alias("user_id"), "message_type", "usable", "stream_id",
                          F.coalesce("threshold", F.lit(C.SEARCH_THRESHOLD)).alias("threshold"),
                          F.coalesce("max_results", F.lit(C.SEARCH_MAX_RESULTS)).alias("max_results"),

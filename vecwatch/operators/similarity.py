@@ -539,6 +539,9 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, **options) -> Data
     return similarity_search(queries, points, k, None, **options)
 
 
+INDEX_PAYLOAD = ("user_id", "external_id", "batch_id", "item_index", "item_ref", "source_url", "model_version")
+
+
 def index_search(queries: DataFrame, index: DataFrame, k: int, threshold: float, predicate: Column | None = None, **physical) -> DataFrame:
     """Tenant-scoped search of the on-demand index.
 
@@ -553,8 +556,7 @@ def index_search(queries: DataFrame, index: DataFrame, k: int, threshold: float,
     if "q_external_ids" in queries.columns:
         ids = F.transform("q_external_ids", lambda e: e.cast("string"))
         queries = queries.withColumn("f_external_id", F.when(F.size(ids) > 0, ids))
-    payload = ("user_id", "external_id", "batch_id", "item_index", "item_ref", "source_url", "model_version")
-    return similarity_search(queries, index, k, threshold, scope=scope, payload=payload, **physical)
+    return similarity_search(queries, index, k, threshold, scope=scope, payload=INDEX_PAYLOAD, **physical)
 
 
 # ---------------------------------------------------------------------------

@@ -79,12 +79,16 @@ def reverse_matches(
     new_references: DataFrame, points: DataFrame, entries: DataFrame, references: DataFrame, *,
     threshold: float = C.MATCH_THRESHOLD, limit: int = C.REVERSE_MATCH_LIMIT, **physical,
 ) -> DataFrame:
-    """New reference vectors (reference_id, entry_id, user_id, vector) against their tenant's stored evidence."""
-    queries = new_references.select(F.col("reference_id").alias("query_id"), "vector", F.col("user_id").alias("q_user_id"))
+    """New reference vectors (reference_id, entry_id, user_id, vector) against their tenant's stored evidence.
+
+    With a column point_id a reference may have several vectors; each makes its own search under its own limit.
+    """
+    asked = F.col("point_id" if "point_id" in new_references.columns else "reference_id")
+    queries = new_references.select(asked.alias("query_id"), "vector", F.col("user_id").alias("q_user_id"))
     hits = S.similarity_search(queries, P.evidence_only(points), limit, threshold, scope=("user_id",),
                                payload=("user_id", *EVIDENCE_FIELDS), **physical)
-    who = new_references.select(F.col("reference_id").alias("query_id"), F.col("entry_id").alias("blacklist_entry_id"))
-    found = hits.join(who, "query_id").withColumnRenamed("query_id", "blacklist_reference_id").withColumnRenamed("point_id", "frame_id")
+    who = new_references.select(asked.alias("query_id"), F.col("reference_id").alias("blacklist_reference_id"), F.col("entry_id").alias("blacklist_entry_id"))
+    found = hits.join(who, "query_id").withColumnRenamed("point_id", "frame_id")
     return _evidence_side(_with_watchlist(found, entries, references), "score", "reverse_search", F.lit(threshold))
 
 
@@ -128,18 +132,21 @@ def cross_reference(
         F.col("entry_id").alias("blacklist_entry_id"), F.col("id").alias("embedding_id"), F.col("reference_id").alias("blacklist_reference_id"),
         F.col("qdrant_point_id").alias("point_id"), F.col("model_version").alias("reference_model_version"), F.col("created_at").alias("embedding_created_at"))
     probes = asked.join(stored, "blacklist_entry_id").join(points.select("point_id", "vector"), "point_id").drop("point_id")
-    if batches is not None:
-        probes = probes.join(batches.select(F.col("id").alias("landed_batch_id"), "user_id"), "user_id")
-        probes = probes.withColumn("query_id", F.concat_ws("|", "embedding_id", "landed_batch_id"))
-    else:
-        probes = probes.withColumn("query_id", F.col("embedding_id"))
-    queries = probes.select("query_id", "vector", F.col("user_id").alias("q_user_id"), F.col("threshold_used").alias("q_threshold"),
-                            *([F.col("landed_batch_id").alias("q_batch_id")] if batches is not None else []))
+    probes = probes.withColumn("query_id", F.col("embedding_id"))
+    queries = probes.select("query_id", "vector", F.col("user_id").alias("q_user_id"), F.col("threshold_used").alias("q_threshold"))
     if external_ids:
         index = index.where(F.col("external_id").cast("string").isin(*[str(e) for e in external_ids]))
     if batch_id:
         index = index.where(F.col("batch_id").cast("string") == F.lit(str(batch_id)))
-    hits = S.index_search(queries, index, limit, default if threshold is None else threshold, **physical)
+    least = default if threshold is None else threshold
+    if batches is None:
+        hits = S.index_search(queries, index, limit, least, **physical)
+    else:  # one search per reference over what landed for its tenant, then its best of every batch
+        landed = batches.select(F.col("id").cast("string").alias("batch_id"), F.col("user_id").cast("string").alias("user_id")).distinct()
+        arrived = index.withColumns({c: F.col(c).cast("string") for c in ("user_id", "external_id", "batch_id")}).join(landed, ["batch_id", "user_id"], "left_semi")
+        hits = S.score_join(queries, arrived, threshold=least, scope=("user_id",), payload=S.INDEX_PAYLOAD, **physical)
+        order = S.W.partitionBy("query_id", "batch_id").orderBy(F.col("score").desc(), "point_id")
+        hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("landed_batch_id", F.col("batch_id"))
     found = P.same_model(hits.drop("user_id").join(probes.drop("vector"), "query_id"))
     best = best_per_point(found)
     return best.select(

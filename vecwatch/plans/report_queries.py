@@ -174,7 +174,7 @@ def _results(d):
     found = F.when(n % 3 == 0, F.array(first, second)).when(n % 3 == 1, F.array(first)).otherwise(F.array().cast(schemas.DETECTIONS))
     image = F.struct(name.alias("image_name"), (n % 5).cast("int").alias("image_index"), found.alias("detections"))
     frame = F.struct(name.alias("image_name"), F.when(n % 4 != 1, F.concat(F.lit("http://img/"), n.cast("string"))).alias("image_url"),
-                     (n % 5).cast("int").alias("image_index"), F.col("embedding").alias("vector"))
+                     (n % 5).cast("int").alias("image_index"), F.when(n % 55 != 36, F.col("embedding")).alias("vector"))
     # five frames per evidence id at most, by construction of the id
     per = d["embeddings"].groupBy(e.alias("e")).agg(
         F.array_sort(F.collect_list(F.struct((n % 5).alias("o"), frame.alias("f"), image.alias("i")))).alias("all"), F.min("label").alias("label"))
@@ -200,7 +200,7 @@ def _results(d):
 _EV = """f as (select vec_id as n, cast(floor(vec_id / 5) as bigint) as e, vec_id % 5 as pos, embedding, label from embeddings),
     known as (select concat('E', cast(event_id as string)) as evidence_id from events where event_type = 'error'),
     ok as (select e, concat('E', cast(e as string)) as evidence_id, min(label) as label from f where e % 19 <> 0 group by e having concat('E', cast(e as string)) not in (select evidence_id from known)),
-    g as (select f.*, ok.evidence_id, e % 3 <> 0 as analyzed, (e % 8 = 3 and pos = 0) as doubled from f join ok using (e) where e % 6 <> 4)"""
+    g as (select f.*, ok.evidence_id, e % 3 <> 0 as analyzed, (e % 8 = 3 and pos = 0) as doubled from f join ok using (e) where e % 6 <> 4 and e % 11 <> 7)"""
 _DET = "case when doubled then 1 when n % 3 = 0 then 2 when n % 3 = 1 then 1 else 0 end"
 _CLS = "case when doubled then 'last' when n % 3 = 2 then '' when n % 2 = 0 then 'arma' else 'persona' end"
 
@@ -232,19 +232,24 @@ def _(d):
 
 
 @query("ingest_requests", f"""with {_EV}
-    select ok.evidence_id, case when e % 6 = 4 then 5 else 3 end as status, case when e % 6 = 4 then 'entities must be integers' end as error_message,
-      e % 6 <> 4 and e % 3 <> 0 as weapon_analyzed, case when e % 6 = 4 or e % 3 = 0 or e % 5 = 4 or e % 4 = 0 then false else e % 2 = 0 end as has_weapon,
-      case when e % 6 <> 4 and e % 3 <> 0 and e % 5 <> 4 and e % 4 = 2 then 'z' else '' end as weapon_classes,
-      case when e % 6 <> 4 and e % 3 <> 0 and e % 5 <> 4 and e % 4 = 3 then 0.77 end as weapon_max_confidence,
-      case when e % 6 = 4 then null when e % 6 = 2 then '[2,5]' when e % 6 = 3 then '[0]' when e % 6 = 5 then concat('[', cast(label as string), ',12]') end as category,
-      case when e % 6 <> 4 and e % 9 = 0 then 'timeout' end as weapon_analysis_error,
-      case when e % 6 = 4 then 0 else (select count(*) from f where f.e = ok.e) end as n_urls from ok""")
+    select ok.evidence_id, case when e % 11 = 7 then 5 else 3 end as status, case when e % 11 = 7 then 'frame 1 has no vector' end as error_message,
+      e % 11 <> 7 and e % 3 <> 0 as weapon_analyzed, case when e % 11 = 7 or e % 3 = 0 or e % 5 = 4 or e % 4 = 0 then false else e % 2 = 0 end as has_weapon,
+      case when e % 11 <> 7 and e % 3 <> 0 and e % 5 <> 4 and e % 4 = 2 then 'z' else '' end as weapon_classes,
+      case when e % 11 <> 7 and e % 3 <> 0 and e % 5 <> 4 and e % 4 = 3 then 0.77 end as weapon_max_confidence,
+      case when e % 11 = 7 then null when e % 6 = 2 then '[2,5]' when e % 6 = 3 then '[0]' when e % 6 = 5 then concat('[', cast(label as string), ',12]') end as category,
+      case when e % 11 <> 7 and e % 9 = 0 then 'timeout' end as weapon_analysis_error,
+      case when e % 11 = 7 then 0 else (select count(*) from f where f.e = ok.e) end as n_urls from ok where e % 6 <> 4""")
 def _(d):
     rows = _ingested(d)["requests"]
     return rows.select("evidence_id", "status", "error_message", "weapon_analyzed", "has_weapon", joined("weapon_classes").alias("weapon_classes"), "weapon_max_confidence",
                        "category", "weapon_analysis_error", F.size("image_urls").alias("n_urls"))
 
 
+@query("ingest_unreadable_entities", "select distinct concat(cast(cast(floor(vec_id / 5) as bigint) as string), '-0') as stream_id from embeddings where cast(floor(vec_id / 5) as bigint) % 6 = 4")
+def _(d):
+    return _ingested(d)["dead"].select("stream_id")
+
+
 @query("ingest_frame_rows", f"""with {_EV}
     select count(*) as n, count(distinct evidence_id) as requests, count(*) filter (where analyzed) as with_detections, count(*) filter (where analyzed and {_DET} = 0) as clean from g""")
 def _(d):

@@ -356,7 +356,7 @@ def _asked(d):
     indexed = n % 4 == 0
     meta = F.when(indexed, F.concat(F.lit('{"search_type":"image_index","user_id":"user-'), (F.col("label") % 3).cast("string"), F.lit('","external_ids":["ext-1","ext-2"]}'))).otherwise(
         F.concat(F.lit('{"camera_id":"cam-'), (n % 7).cast("string"), F.lit('"}')))
-    vector = F.when(n % 12 == 0, F.transform("embedding", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("embedding"))
+    vector = F.when((n % 12).isin(0, 1), F.transform("embedding", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("embedding"))
     return d["embeddings"].select(
         F.concat(F.lit("search-"), n.cast("string")).alias("search_id"), F.concat(F.lit("user-"), (F.col("label") % 3).cast("string")).alias("user_id"),
         vector.alias("vector"), F.lit(0.1).alias("threshold"), F.lit(6).alias("max_results"), F.lit("search").alias("purpose"),
@@ -366,7 +366,7 @@ def _asked(d):
 _LAND_SEARCH = """with q as (select vec_id, concat('search-', cast(vec_id as string)) as search_id, concat('user-', cast(label % 3 as string)) as user_id,
       embedding as vector from embeddings),
     s as (select q.search_id, p.point_id, list_cosine_similarity(cast(q.vector as double[]), cast(p.vector as double[])) as score
-          from q join v_evidence p on p.user_id = q.user_id and p.camera_id = concat('cam-', cast(vec_id % 7 as string)) where vec_id % 4 <> 0
+          from q join v_evidence p on p.user_id = q.user_id and p.camera_id = concat('cam-', cast(vec_id % 7 as string)) where vec_id % 4 <> 0 and vec_id % 12 <> 1
           union all
           select q.search_id, x.point_id, list_cosine_similarity(cast(q.vector as double[]), cast(x.vector as double[]))
           from q join v_index x on x.user_id = q.user_id and x.external_id in ('ext-1', 'ext-2') where vec_id % 4 = 0 and vec_id % 12 <> 0),

@@ -210,6 +210,17 @@ def _(d):
     return _match_rows(L.reverse_matches(news, d["v_evidence"], d["v_wl_entries"], d["v_wl_refs"], threshold=_T, limit=9))
 
 
+@query("reverse_match_every_vector", _REVERSE.format(
+    news="""select blacklist_reference_id as reference_id, blacklist_entry_id as entry_id, user_id, point_id, vector from v_watch union all
+            select blacklist_reference_id, blacklist_entry_id, user_id, concat(point_id, '-b'), list_reverse(vector) from v_watch""").replace("select n.reference_id, n.entry_id,", "select n.point_id as asked, n.reference_id, n.entry_id,")
+    .replace("partition by reference_id order", "partition by asked order"))
+def _(d):
+    """Two vectors of every reference, as when it is computed twice before a job runs: each makes its own search."""
+    news = d["v_watch"].select(F.col("blacklist_reference_id").alias("reference_id"), F.col("blacklist_entry_id").alias("entry_id"), "user_id", "point_id", "vector")
+    news = news.unionByName(news.withColumn("point_id", F.concat("point_id", F.lit("-b"))).withColumn("vector", F.reverse("vector")))
+    return _match_rows(L.reverse_matches(news, d["v_evidence"], d["v_wl_entries"], d["v_wl_refs"], threshold=_T, limit=9))
+
+
 @query("backfill_watchlist_match", _REVERSE.format(
     news="""select r.id as reference_id, r.entry_id, e.user_id, w.vector from v_wl_refs r join v_wl_entries e on e.id = r.entry_id
             join v_wl_embs m on m.reference_id = r.id join v_watch w on w.point_id = m.qdrant_point_id where r.status = 3"""))
@@ -377,7 +388,7 @@ def _(d):
     with q as (select *, cast(substr(point_id, 4) as bigint) as n from v_watch),
     s as (select q.point_id as query_id, p.point_id, {COS.format(a='q', b='p')} as score, n
           from q join v_evidence p on q.user_id = p.user_id
-          where (n % 3 <> 0 or p.camera_id = concat('cam-', cast(n % 7 as string)))
+          where (n % 3 <> 0 or p.camera_id = concat('cam-', cast(n % 7 as string)) or (n % 6 = 0 and p.camera_id = concat('cam-', cast((n + 2) % 7 as string))))
             and (n % 4 <> 1 or list_contains(p.category, cast(n % 10 as string)) or list_contains(p.category, '11'))
             and case n % 5 when 1 then p.has_weapon when 2 then not p.has_weapon when 3 then p.weapon_analyzed and not p.has_weapon else true end),
     k as (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from s where score >= 0.05 + (n % 4) * 0.05)
@@ -387,7 +398,8 @@ def _(d):
     key = lambda cond, k, v: F.when(cond, F.concat(F.lit(f'"{k}":'), v))
     mode = F.element_at(F.array(*[F.lit(m) for m in ("all", "only", "exclude", "analyzed_clean", "odd")]), (n % 5 + 1).cast("int"))
     meta = F.concat(F.lit("{"), F.concat_ws(
-        ",", key(n % 3 == 0, "camera_id", F.concat(F.lit('"cam-'), (n % 7).cast("string"), F.lit('"'))),
+        ",", key(n % 6 == 3, "camera_id", F.concat(F.lit('"cam-'), (n % 7).cast("string"), F.lit('"'))),
+        key(n % 6 == 0, "camera_id", F.concat(F.lit('["cam-'), (n % 7).cast("string"), F.lit('","cam-'), ((n + 2) % 7).cast("string"), F.lit('"]'))),
         key(n % 4 == 1, "category", F.concat(F.lit('["'), (n % 10).cast("string"), F.lit('","11"]'))),
         key(F.lit(True), "weapons_filter", F.concat(F.lit('"'), mode, F.lit('"')))), F.lit("}"))
     asked = d["v_watch"].select(F.col("point_id").alias("id"), "user_id", "vector", (F.lit(0.05) + (n % 4) * 0.05).alias("threshold"),
