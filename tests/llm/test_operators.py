@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecwatch.llm import bpe, catalog, exact_dedup, license_texts, licenses, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
+from vecwatch.llm import bpe, catalog, exact_dedup, language, lexical, license_texts, licenses, merkle, mixing, near_dedup, perspectives, quality, substrings, surrogates, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 long, row string, key string, sid long, _k long"
 
@@ -330,10 +332,191 @@ def test_exact_dedup(docs, rounds):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k in want if k[3])
 
 
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_brute(rows):
+    """Levels of pairs per language, then over languages; proofs and folds by walking."""
+    def enc(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(r, more=0):
+        return sha(*map(enc, (r[0], r[3], r[2], None if r[4] is None else r[4] + more, r[1])))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+        return out
+
+    def path(tree, i):
+        steps = []
+        for level in tree[:-1]:
+            run = level[i // 2 * 2 : i // 2 * 2 + 2]
+            steps.append((run[: i % 2], run[i % 2 + 1 :]))
+            i //= 2
+        return steps
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {g: levels([leaf(r) for r in groups[g]]) for g in names}
+    top = levels([trees[g][-1][0] for g in names])
+    out = Counter()
+    for k, g in enumerate(names):
+        for i, r in enumerate(groups[g]):
+            steps = path(trees[g], i) + path(top, k)
+            bad = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            now = leaf(r, int(bad))
+            for left, right in steps:
+                now = sha(*left, now, *right)
+            out[(r[0], leaf(r), trees[g][-1][0], top[-1][0], sha(*[x for left, right in steps for x in (*left, *right)]), now, now == top[-1][0])] += 1
+    return out
+
+
+@pytest.mark.parametrize("digits", [1, 3, 8])
+def test_merkle(docs, digits):
+    got = Counter(tuple(r) for r in merkle.merkle(docs, digits).collect())
+    assert got == merkle_brute(ROWS) and any(not k[-1] for k in got)
+
+
+def test_merkle_of_one_row(spark):
+    docs = spark.createDataFrame([(7, "a", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = merkle.merkle(docs).first()
+    assert r.leaf == r.subroot == r.root == sha("1:7", "-", "-", "-", "1:a") and r.proof_sha256 == sha() and r.verified
+
+
+def test_merkle_sql(spark, docs):
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "source", "lang", "n_chars", "text").toArrow())
+    assert sorted(map(str, con.execute(merkle.SQL).fetchall())) == sorted(str(tuple(r)) for r in merkle.merkle(docs).collect())
+
+
+ITEMS = [(1, "The cat sat; the CAT ran."), (2, None), (3, "zzz unseen"), (4, ROWS[4][1]), (4, "x x x"), (None, "edited über edited"), (6, " ".join(ROWS[13][1].split()[:300]))]
+
+
+@pytest.mark.parametrize("options", [{}, {"bits": 1, "rows": 8}, {"at_once": 2, "k": 3}])
+def test_lexical(spark, docs, options):
+    """Against every document scored for every item; with one bit per entry the signatures say little and all is left to the exact step."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    counts = [(r[0], Counter(split(r[1]))) for r in ROWS]
+    held = [(d, c) for d, c in counts if c]
+    n, total = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    want = Counter()
+    for item, text in ITEMS:
+        scores = []
+        for d, c in held:
+            m = 75 + 25 * sum(c.values()) * n // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m)) for t in split(text) if c[t])
+            if score > 0:
+                scores.append((-score, d is None, d or 0))
+        for rank, (score, none, d) in enumerate(sorted(scores)[: options.get("k", 20)], 1):
+            want[item, rank, None if none else d, -score] += 1
+    assert Counter(tuple(r) for r in lexical.search(docs, items, **options).collect()) == want
+
+
+def test_signatures_never_deny_a_term(docs):
+    """Bounds are never below a score, whatever the number of bits."""
+    for bits in (1, 16):
+        asked = lexical.Asked.of(docs, [ROWS[4][1].encode(), b"x x"], 150, 12000, 20)
+        names = lexical.word_hashes(asked.terms)
+        for row in lexical.signatures(docs, bits, 16).collect():
+            bound = lexical._bounds(asked, names, row.asDict(), [0, 1])
+            for j, d in enumerate(row.doc_ids):
+                c = Counter(lexical.terms((dict((r[0], r[1]) for r in ROWS)[d]).encode()))
+                m = int(asked.norms(np.array(sum(c.values()))))
+                for i, own in enumerate(asked.items):
+                    score = sum(int(asked.weights[t]) * lexical.gains(c[asked.terms[t]], m) for t in own.tolist() if c[asked.terms[t]])
+                    assert bound[i, j] >= score and (sum(c.values()) == row.sizes[j])
+
+
+LANGS = {"aa": "bado gime talu rosi nema", "bb": "strux klorf gnash wemth prisk", "cc": "добро снега ветер книга звери"}
+
+
+def speech(lang, seed, n):
+    r = np.random.default_rng(seed)
+    units = [w[i : i + 2] for w in LANGS[lang].split() for i in range(0, len(w) - 1, 2)]
+    return " ".join("".join(r.choice(units, r.integers(2, 5))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rows = [(i, speech("abc"[i % 3] * 2, i, 30), "abc"[i % 3] * 2) for i in range(240)]
+    mixed_text = speech("aa", 900, 40) + ". " + speech("bb", 901, 25) + " " + speech("aa", 902, 30)
+    rows += [(900, mixed_text, "aa"), (901, None, "bb"), (902, "", "aa"), (903, "12 !? 34", "aa"), (904, speech("cc", 905, 3000), None), (904, speech("cc", 905, 3000), None), (None, speech("bb", 7, 12), "bb")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("row", F.lit("x"))
+
+
+def test_language(spoken):
+    got = language.language(spoken).collect()
+    by_id = {r.doc_id: r for r in got}
+    truth = {r.doc_id: r.lang for r in spoken.collect()}
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 240]
+    assert len(got) == 247 and len(held) > 30 and all(r.lang_pred == truth[r.doc_id] for r in held) and all(0 <= r.score <= 1 for r in got)
+    assert [by_id[i].lang_pred for i in (901, 902, 903, 904, None)] == ["und", "und", "und", "cc", "bb"] and by_id[901].score == 0
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_language_spans(spoken):
+    model = language.fit(spoken)
+    r = language.labelled(spoken.where("doc_id = 900"), model).first()
+    assert [(s.lang, s.first_word, s.words) for s in r.spans] == [("aa", 0, 40), ("bb", 40, 25), ("aa", 65, 30)] and r.lang_pred == "aa"
+    cyrillic = model.scores(["добро"])[0]
+    assert cyrillic[2] == 0 and cyrillic[0] == cyrillic[1] == -language.SPREAD  # the script leaves one candidate
+
+
+def test_viterbi_and_its_shortcut():
+    """The walk against all paths; the shortcut says yes only where the constant path is the best."""
+    r = np.random.default_rng(3)
+    for trial in range(60):
+        scores = -np.abs(r.normal(0, 3, (6, 3)))
+        value = lambda p: sum(scores[t, k] for t, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(map(value, itertools.product(range(3), repeat=6)))
+        path = language.viterbi(scores, 2.0).tolist()
+        assert abs(value(path) - best) < 1e-9
+        top = int(scores.sum(axis=0).argmax())
+        if language.constant(np.arange(6), np.array([0]), scores, np.array([top]), 2.0)[0]:
+            assert path == [top] * 6
+
+
+def test_grams_are_those_of_each_word():
+    words = ["ab", "c", "déf"]
+    found, of = language.grams(words, 1 << 40)
+    for i, w in enumerate(words):
+        alone = language.grams([w], 1 << 40)[0]
+        assert sorted(found[of == i].tolist()) == sorted(alone.tolist())
+    assert len(language.grams(["ab"], 1 << 40)[0]) == 2 + 3 + 2 + 1  # a b, _a ab b_, _ab ab_, _ab_
+
+
+def test_toxicity_of_awkward_rows(spark, docs, labels):
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(ROWS)
+    of = defaultdict(set)
+    for r in got:
+        of[r.doc_id].add(r.score)
+    assert len({of[i].pop() for i in (0, 1, 2)}) == 1 and len(of[39]) == 1  # null, empty and blank texts score alike, and so do repeated rows
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_subwords_are_those_of_each_word():
+    words = ["ab", "c", "déf"]
+    found, of = toxicity.subwords(words)
+    for i, w in enumerate(words):
+        assert sorted(found[of == i].tolist()) == sorted(toxicity.subwords([w])[0].tolist())
+    assert len(toxicity.subwords(["ab"])[0]) == 3 and len(toxicity.subwords(["c"])[0]) == 1  # itself, _ab without one mark each; only itself
+
+
 def test_empty_tables(docs, labels):
     none = docs.limit(0)
     for made in (licenses.scan(none), substrings.substring_dedup(none, width_bits=10), quality.quality(none), mixing.mix_report(none), mixing.mixed_documents(none), toxicity.toxicity(none, labels.limit(0)),
-                 near_dedup.near_dedup(none), near_dedup.keep_representatives(none), bpe.bpe(none), surrogates.surrogates(none), exact_dedup.exact_dedup(none), exact_dedup.keep_first(none)):
+                 near_dedup.near_dedup(none), near_dedup.keep_representatives(none), bpe.bpe(none), surrogates.surrogates(none), exact_dedup.exact_dedup(none), exact_dedup.keep_first(none),
+                 merkle.merkle(none), language.language(none), lexical.search(none, docs.select(F.col("doc_id").alias("item_id"), "text")), lexical.search(docs, none.select(F.col("doc_id").alias("item_id"), "text"))):
         assert made.count() == 0
 
 
@@ -354,4 +537,4 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
 
 def test_registered():
     names = list(catalog.queries())
-    assert [n for n in names if n.startswith("op")] and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and set(catalog.oracle_sql()) <= set(names)
+    assert [n for n in names if n.startswith("op")] and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and set(catalog.oracle_sql()) <= set(names)

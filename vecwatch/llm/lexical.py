@@ -234,8 +234,9 @@ def _candidates(index: DataFrame, asked: Asked, floors: dict | None) -> DataFram
                                     out.append((i, ids[j], row["k1"][j], row["k2"][j], int(bound[j])))
                 if out:
                     yield _rows(out, id_type)
-        if best:
-            yield _rows([(i, None if x[1] else x[2], x[3], x[4], x[0]) for i, held in best.items() for x in held], id_type)
+        kept = [(i, None if x[1] else x[2], x[3], x[4], x[0]) for i, held in best.items() for x in held]
+        if kept:
+            yield _rows(kept, id_type)
 
     return index.mapInArrow(find, f"item int, doc_id {kind}, k1 long, k2 long, bound long")
 
