@@ -91,33 +91,38 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "mins").mapInArrow(pair, "key long, cls long")
 
 
+BATCH_BYTES = 32 << 20
 JUDGED = "a long, b long, linked boolean, inside int, size_b int, outside array<bigint>"
 
 
-def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, outside_too: bool = True) -> DataFrame:
     """Compares the class pairs (a, b) on full sets: whether they are linked, how much of b lies inside a, and, if they are alike by NEAR percent, what of b lies outside.
 
     Texts of one row per class are read again, and only of classes in a pair."""
+    # a lead's text stands in the row of each of its pairs, so batches are bounded in bytes as well as in rows
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "k1", "k2"), "cls")
     texts = docs.select(whole().alias("text"), *row_key("doc_id", "text"))
     texts = texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).groupBy("cls").agg(F.any_value("text").alias("text"))
     texts = stored(texts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, last, other = ([], [], [], []), None, None
-            for x, y in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
-                if x != last:
-                    last, other = x, shingle_set(x, n)
-                own = shingle_set(y, n)
-                inside = np.isin(own, other, assume_unique=True)
-                both = int(inside.sum())
-                union = len(own) + len(other) - both
-                outside = own[~inside].view(np.int64) if 100 * both >= NEAR * union else None
-                for column, value in zip(out, (100 * both >= percent * union, both, len(own), outside)):
-                    column.append(value)
-            columns = [pa.array(v, t) for v, t in zip(out, (pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "linked", "inside", "size_b", "outside"])
+        last, other = None, None
+        for whole_batch in batches:
+            for batch in (part for half in slices(whole_batch, "text_b") for part in slices(half, "text_a")):
+                out = ([], [], [], [])
+                for x, y in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))):
+                    if x != last:
+                        last, other = x, shingle_set(x, n)
+                    own = shingle_set(y, n)
+                    inside = np.isin(own, other, assume_unique=True)
+                    both = int(inside.sum())
+                    union = len(own) + len(other) - both
+                    outside = own[~inside].view(np.int64) if outside_too and 100 * both >= NEAR * union else None
+                    for column, value in zip(out, (100 * both >= percent * union, both, len(own), outside)):
+                        column.append(value)
+                columns = [pa.array(v, t) for v, t in zip(out, (pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "linked", "inside", "size_b", "outside"])
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
@@ -155,7 +160,7 @@ def near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = components(links)
     rest = stored(_near_rest(told, roots, percent).union(_far_rest(shared, told, roots, sizes, percent)).distinct())
     if not rest.isEmpty():
-        roots = components(links.union(judged(rest, classes, docs, n, percent).where("linked").select("a", "b")))
+        roots = components(links.union(judged(rest, classes, docs, n, percent, outside_too=False).where("linked").select("a", "b")))
     classes = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(names, "root").select("d1", "d2", "component_id")
