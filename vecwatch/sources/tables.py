@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -107,8 +107,11 @@ class Table:
             rows = rows.sortWithinPartitions("user_id")  # narrow min/max per row group, so a tenant's scan skips the others
         rows.write.mode("overwrite").parquet(f"{self.path}/writer={writer}/batch={batch}")
 
-    def log(self, before: int | None = None, job: str | None = None) -> DataFrame:
-        """All rows with their `writer` and `batch`, without what the job's writers wrote from batch `before` on."""
+    def log(self, before: int | None = None, job: str | None = None, upto: Mapping[str, int] | None = None) -> DataFrame:
+        """All rows with their `writer` and `batch`, without what the job's writers wrote from batch `before` on.
+
+        `upto` pins the other writers as well: each to its last batch named there, one that is not named to nothing.
+        """
         full = T.StructType([*self.schema.fields, T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
         try:
             df = self.spark.read.schema(full).parquet(self.path)
@@ -116,22 +119,34 @@ class Table:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return self.spark.createDataFrame([], full)
-        return df if before is None else df.where(~F.col("writer").startswith(job) | (F.col("batch") < before))
+        if before is None:
+            return df
+        mine, others = F.col("writer").startswith(job), F.lit(True)
+        if upto is not None:
+            others = F.lit(False)
+            for writer, last in upto.items():
+                others = others | ((F.col("writer") == writer) & (F.col("batch") <= last))
+        return df.where((mine & (F.col("batch") < before)) | (~mine & others))
+
+    def last_batches(self, job: str) -> dict[str, int]:
+        """The last batch of every writer that is not the job's (one row per writer)."""
+        rows = self.log().where(~F.col("writer").startswith(job)).groupBy("writer").agg(F.max("batch").alias("last")).collect()
+        return {r["writer"]: r["last"] for r in rows}
 
     def written(self, batch: int, writer: str) -> DataFrame:
         """What one batch of a writer holds, read back from storage."""
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/writer={writer}/batch={batch}")
 
-    def rows(self, before: int | None = None, job: str | None = None) -> DataFrame:
+    def rows(self, before: int | None = None, job: str | None = None, upto: Mapping[str, int] | None = None) -> DataFrame:
         """Every logged row; right for tables whose keys are only ever written once."""
-        return self.log(before, job).drop("writer", "batch")
+        return self.log(before, job, upto).drop("writer", "batch")
 
-    def current(self, before: int | None = None, job: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    def current(self, before: int | None = None, job: str | None = None, only: DataFrame | None = None, upto: Mapping[str, int] | None = None) -> DataFrame:
         """Newest row per key, by updated_at where the table has it, then by batch and writer.
 
         `only` names the rows a job cares about by some columns; the log is cut to them before anything is shuffled.
         """
-        rows = self.log(before, job)
+        rows = self.log(before, job, upto)
         if only is not None:
             rows = rows.join(only.distinct(), only.columns, "left_semi").select(*rows.columns)
         newest = [F.col(c).desc() for c in ("updated_at",) if c in self.schema.fieldNames()]
@@ -145,10 +160,10 @@ class Table:
         old = self.log(batch, writer).select(*self.keys, "writer", "batch").join(new, list(self.keys), "left_semi")
         self._replaced().write(old.select(*self.keys, F.col("writer").alias("old_writer"), F.col("batch").alias("old_batch")), batch, writer)
 
-    def live(self) -> DataFrame:
+    def live(self, before: int | None = None, job: str | None = None, upto: Mapping[str, int] | None = None) -> DataFrame:
         """All rows that no later row replaced. The heavy rows are not shuffled while the side log is small."""
-        gone = self._replaced().rows().withColumnsRenamed({"old_writer": "writer", "old_batch": "batch"})
-        return self.log().join(gone, [*self.keys, "writer", "batch"], "left_anti").select(*self.schema.fieldNames())
+        gone = self._replaced().rows(before, job, upto).withColumnsRenamed({"old_writer": "writer", "old_batch": "batch"})
+        return self.log(before, job, upto).join(gone, [*self.keys, "writer", "batch"], "left_anti").select(*self.schema.fieldNames())
 
     def _replaced(self) -> "Table":
         key_fields = [self.schema[k] for k in self.keys]
