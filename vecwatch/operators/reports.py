@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import config as C
 from ..functions import text, timing
-from ..sources.tables import latest
+from ..sources.tables import durable, latest
 from . import ordered, predicates as P
 
 
@@ -88,6 +88,32 @@ def summarize_times(times: DataFrame) -> DataFrame:
         whole(F.col("total") / F.col("n")).alias("avg"))
 
 
+SKETCH_SIZE = 2000  # of the quantile sketches: a rank is off by less than SKETCH_ERROR of all values
+SKETCH_ERROR = 0.005
+
+
+def daily_sketches(requests: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(day, phase, n, lo, hi, total, sketch): what a later run needs of a day, whatever its number of requests. Days are computed once, kept, and merged by `merged_latency`."""
+    day = F.to_date("created_at")
+    span = requests.where((F.col("created_at") >= start) & (F.col("created_at") < end)).select(day.alias("day"), "weapon_analyzed", "created_at", "stream_message_id", "processing_completed_at")
+    used = span.where(F.col("weapon_analyzed") & F.col("stream_message_id").isNotNull() & F.col("processing_completed_at").isNotNull())
+    t = used.select("day", timing.stream_id_ms(F.col("stream_message_id")).alias("i"), timing.epoch_ms(F.col("created_at")).alias("p"), timing.epoch_ms(F.col("processing_completed_at")).alias("c"))
+    times = t.selectExpr("day", "stack(3, 'queue_wait', p - i, 'processing', c - p, 'total', c - i) as (phase, ms)").where("ms is not null")
+    return times.groupBy("day", "phase").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.sum("ms").alias("total"),
+        F.call_function("kll_sketch_agg_bigint", F.col("ms").cast("bigint"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def merged_latency(days: DataFrame) -> DataFrame:
+    """count, min, p50/p90/p99, max and mean per phase from the sketches of any number of days: percentiles within SKETCH_ERROR of their rank, all else exact."""
+    merge = lambda a, b: F.call_function("kll_sketch_merge_bigint", a, b)
+    per = days.groupBy("phase").agg(  # one small row per day and phase
+        F.sum("n").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("total").alias("total"), F.collect_list("sketch").alias("sketches"))
+    one = F.aggregate(F.slice("sketches", 2, F.greatest(F.size("sketches") - 1, F.lit(1))), F.element_at("sketches", 1), merge)
+    at = F.call_function("kll_sketch_get_quantile_bigint", one, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    return per.withColumn("q", at).select("phase", "n", "min", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "max", F.rint(F.col("total") / F.col("n")).cast("bigint").alias("avg"))
+
+
 def union_phases(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -125,25 +151,29 @@ def latest_per_key(outputs: DataFrame, n: int | None = None, key: str = "key") -
 
 
 def asof_latency(
-    inputs: DataFrame, outputs: DataFrame, *, input_window: int | None = None, output_limit: int | None = None, bucket_ms: int = 3_600_000,
+    inputs: DataFrame, outputs: DataFrame, *, input_window: int | None = None, output_limit: int | None = None, bucket_ms: int = 3_600_000, ranges: int | None = None,
 ) -> DataFrame:
     """Each key's newest output with the last input of the same key at or before it: (key, in_ms, out_ms, delta_ms).
 
     Unpaired outputs have a null in_ms. With `input_window` only the newest N inputs at or before the output count.
-    Inputs and outputs are (key, stream_id). Work is split by key and time bucket, so a hot key is spread out.
+    Inputs and outputs are (key, stream_id). Work is split by key and time bucket, so a hot key is spread out. With `ranges` buckets are that many measured
+    ranges of stream ids of about one size, so that a hot hour is spread out as well; the rows are stored once, dealt by range.
     """
     out_rows = latest_per_key(outputs, output_limit).withColumn("side", F.lit(1))
     in_rows = _order(inputs).withColumn("side", F.lit(0))
     columns = ["key", "ms", "sub", "side"]
-    bucket = F.floor(F.col("ms") / F.lit(bucket_ms))
+    both = in_rows.select(*columns).unionByName(out_rows.select(*columns))
+    if ranges is None:
+        bucket = F.floor(F.col("ms") / F.lit(bucket_ms))
+    else:  # equal ids fall into one range; numbers of ranges ascend with the ids
+        both = durable(both.repartitionByRange(ranges, "ms", "sub").withColumn("_range", F.spark_partition_id()))
+        bucket = F.col("_range")
     if input_window is None:
-        both = in_rows.select(*columns).unionByName(out_rows.select(*columns))
         values = {"in_ms": F.when(F.col("side") == 0, F.col("ms"))}
         seen = ordered.carry_last(both, ["key"], ["ms", "sub", "side"], bucket, values, inclusive=True)
         found = seen.where("side = 1").select("key", "in_ms", F.col("ms").alias("out_ms"))
     else:
         # every row learns how many inputs the stream holds up to it; equal ids count the input first
-        both = in_rows.select(*columns).unionByName(out_rows.select(*columns))
         per = both.withColumn("_bucket", bucket)
         sizes = per.groupBy("_bucket").agg(F.count_if(F.col("side") == 0).alias("_n"))
         starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))

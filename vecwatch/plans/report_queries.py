@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import config as C, schemas
 from ..functions import text, timing
 from ..operators import feeds, ingest as I, ordered, predicates as P, reports as R
+from ..sources.tables import durable
 from .registry import joined, query, r6, ts, us
 
 NOW = "2024-01-20 12:00:00"
@@ -113,20 +114,48 @@ def _(d):
     return R.latest_per_key(d["v_outputs"], 200).select("key", "ms", "sub")
 
 
-@query("asof_latency", f"with {_ASOF} select key, in_ms, out_ms, delta_ms from pairs")
+_ASOF_SQL = f"with {_ASOF} select key, in_ms, out_ms, delta_ms from pairs"
+
+
+@query("asof_latency", _ASOF_SQL)
 def _(d):
     return R.asof_latency(d["v_inputs"], d["v_outputs"])
 
 
-@query("asof_latency_input_window", f"""with {_OUT}, ranked as (select *, row_number() over (order by ms, sub) as g from i),
+_WINDOW_SQL = f"""with {_OUT}, ranked as (select *, row_number() over (order by ms, sub) as g from i),
     n as (select lo.key, lo.ms, lo.sub, (select count(*) from i where i.ms * 10 + i.sub <= lo.ms * 10 + lo.sub) as upto from lo)
     select n.key, r.ms as in_ms, n.ms as out_ms, n.ms - r.ms as delta_ms
     from n left join (select n.key, max(r.g) as g from n join ranked r on r.key = n.key and r.g <= n.upto and r.g > n.upto - 120 group by n.key) b on b.key = n.key
-    left join ranked r on r.g = b.g""")
+    left join ranked r on r.g = b.g"""
+
+
+@query("asof_latency_input_window", _WINDOW_SQL)
 def _(d):
     return R.asof_latency(d["v_inputs"], d["v_outputs"], input_window=120)
 
 
+@query("asof_latency_ranges", _ASOF_SQL)
+def _(d):
+    return R.asof_latency(d["v_inputs"], d["v_outputs"], ranges=16)
+
+
+@query("asof_latency_input_window_ranges", _WINDOW_SQL)
+def _(d):
+    return R.asof_latency(d["v_inputs"], d["v_outputs"], input_window=120, ranges=16)
+
+
+@query("phase_latency_sketched", f"""with {_PHASES}
+    select phase, count(*) as n, min(ms) as "min", max(ms) as "max", cast(round_even(avg(ms), 0) as bigint) as "avg", true as p50_near, true as p90_near, true as p99_near from t group by phase""")
+def _(d):
+    """Percentiles merged from stored daily sketches, held against the ranks of the exact values."""
+    days = durable(R.daily_sketches(d["v_requests"], ts("2024-01-03"), ts("2024-01-28")))
+    found, times = R.merged_latency(days), R.phase_times(d["v_requests"], ts("2024-01-03"), ts("2024-01-28"))
+    wanted = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    ranks = times.join(found, "phase").groupBy("phase").agg(*[x for p in wanted for x in (F.count_if(F.col("ms") < F.col(p)).alias(f"{p}_lo"), F.count_if(F.col("ms") <= F.col(p)).alias(f"{p}_hi"))])
+    near = lambda p, q: ((F.col(f"{p}_lo") <= (q + R.SKETCH_ERROR) * F.col("n") + 1) & (F.col(f"{p}_hi") >= (q - R.SKETCH_ERROR) * F.col("n") - 1)).alias(f"{p}_near")
+    return found.join(ranks, "phase").select("phase", "n", "min", "max", "avg", *[near(p, q) for p, q in wanted.items()])
+
+
 @query("latency_statistics", f"""with {_ASOF}, s as (select delta_ms as x, row_number() over (order by delta_ms) - 1 as r, count(*) over () as n from pairs where in_ms is not null)
     select max(n) as n, min(x) as "min", cast(floor(median(x)) as bigint) as p50, max(x) filter (where r = least(floor(n * 0.90), n - 1)) as p90,
       max(x) filter (where r = least(floor(n * 0.99), n - 1)) as p99, max(x) as "max", cast(floor(avg(x)) as bigint) as "avg" from s""")
