@@ -1,11 +1,13 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split once, in Spark tasks, into the pieces that a tokenizer's pre-tokenizer makes. A run of documents (a slice) becomes one row: its distinct words, and per document
-the positions of its words among these. Words of all slices meet by word, where each distinct word is encoded, and decoded, once; what was found comes back to its slice by
-position, whatever the number of words. There is one plan at every size, and no text is shuffled.
-
-Decoding joins ids with the table of pieces. A tokenizer without a decoder, as the default one, joins pieces by spaces, so a word's decoded text is made once and joined back
-with its ids; a tokenizer with a decoder is called with the pieces of the whole text.
+Texts are split in Spark tasks into the pieces that a tokenizer's pre-tokenizer makes. A run of documents (a slice) has its distinct words and, per document, the positions of
+its words among these. Words of all slices meet by word, where each distinct word is encoded once; its ids come back to each slice by position, whatever the number of words.
+There is one plan at every size, and no text is shuffled or written. Words and positions come from two passes over the texts, as writing both down takes more disk than reading
+twice takes time. A slice is named by a digest of its words, so passes over rows in another order cannot be mistaken for one another: they end in an error. Tables read from files, and
+stored or cached ones, keep their order.
+
+Decoding joins ids with the table of pieces, once per distinct word of a slice where the tokenizer has no decoder, as the default one, and pieces are joined by spaces; a tokenizer with
+a decoder is called with the pieces of the whole text.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, whole
+from .common import whole
 
-SLICE_BYTES = 4 << 20  # text of a slice, about; a longer document is a slice of its own
+SLICE_BYTES = 16 << 20  # text of a slice, about; a longer document is a slice of its own
+BATCH_BYTES = 64 << 20
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -146,93 +149,102 @@ class _Slice:
         self.counts.append(len(words))
         self.size += size
 
-    def batch(self, kind: pa.DataType, number: int) -> pa.RecordBatch:
-        places = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
+    def name(self) -> tuple[int, int]:
+        """128 bits that stand for the list of words."""
+        import xxhash
+
+        found = xxhash.xxh3_128_intdigest("\0".join(self.words).encode())
+        return (found >> 64) - (1 << 63), (found & (1 << 64) - 1) - (1 << 63)
+
+    def batch(self, kind: pa.DataType, with_words: bool) -> pa.RecordBatch:
+        s1, s2 = self.name()
+        head = [pa.array([s1], pa.int64()), pa.array([s2], pa.int64())]
+        if with_words:
+            return pa.RecordBatch.from_arrays([*head, pa.array([list(self.words)], pa.list_(pa.string()))], names=["s1", "s2", "words"])
         # frequent words come early and have small numbers: entropy coding takes places to about ten bits each
-        places = pa.compress(places.astype("<u2" if len(self.words) <= 1 << 16 else "<u4").tobytes(), codec="zstd", asbytes=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([self.rows], pa.list_(kind)), pa.array([self.counts], pa.list_(pa.int32())), pa.array([places], pa.binary()), pa.array([list(self.words)], pa.list_(pa.string()))],
-            names=["slice", "rows", "counts", "places", "words"])
+        places = pa.compress(np.concatenate([np.zeros(0, np.uint32), *self.at]).astype("<u4").tobytes(), codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays([*head, pa.array([self.rows], pa.list_(kind)), pa.array([self.counts], pa.list_(pa.int32())), pa.array([places], pa.binary())], names=["s1", "s2", "rows", "counts", "places"])
 
 
-def sliced(rows: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """`rows` (a struct `row`, and `text`) as slices: number, rows, words per row, places of all words in the slice's list (zstd of little-endian numbers, 2 bytes each up to 65,536 words, else 4), words."""
+def sliced(rows: DataFrame, definition: str, slice_bytes: int, with_words: bool) -> DataFrame:
+    """Slices of `rows` (a struct `row`, and `text`): their name (s1, s2) and either their words, or their rows, words per row and places of all words (zstd of 4-byte little-endian numbers)."""
     from pyspark.sql import types as T
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         split, made, kind = Splitter(definition), _Slice(), None
-        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             kind = batch.schema.field("row").type
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 if made.rows and made.size + len(text) > slice_bytes:
-                    yield made.batch(kind, number)
-                    number, made = number + 1, _Slice()
+                    yield made.batch(kind, with_words)
+                    made = _Slice()
                 made.add(row, split(text), len(text))
         if made.rows:
-            yield made.batch(kind, number)
+            yield made.batch(kind, with_words)
 
-    schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())),
-                           T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    return rows.mapInArrow(cut, schema)
+    name = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
+    words = [T.StructField("words", T.ArrayType(T.StringType()))]
+    places = [T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType())]
+    return rows.mapInArrow(cut, T.StructType(name + (words if with_words else places)))
 
 
-def word_table(slices: DataFrame, definition: str) -> DataFrame:
-    """(slice, at, ids, text) of every word of every slice: each distinct word of the corpus is in one task, where it is encoded and decoded once, however many slices have it."""
+def word_ids(slices: DataFrame, definition: str) -> DataFrame:
+    """(s1, s2, at, ids) of every word of every slice: each distinct word of the corpus is in one task, where it is encoded once, however many slices have it."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, ids, text = Encoder(definition), None, b"", ""
+        encoder, last, ids = Encoder(definition), None, b""
         for batch in batches:
-            out_ids, out_texts = [], []
+            out = []
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    found, last = encoder.ids(word), word
-                    ids, text = np.array(found, "<u4").tobytes(), " ".join(encoder.pieces(found))
-                out_ids.append(ids)
-                out_texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("at"), pa.array(out_ids, pa.binary()), pa.array(out_texts, pa.string())], names=["slice", "at", "ids", "text"])
+                    ids, last = np.array(encoder.ids(word), "<u4").tobytes(), word
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s1", "s2", "at")), pa.array(out, pa.binary())], names=["s1", "s2", "at", "ids"])
 
-    words = slices.select("slice", F.posexplode("words").alias("at", "word"))
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "slice long, at int, ids binary, text string")
+    words = slices.select("s1", "s2", F.posexplode("words").alias("at", "word"))
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "s1 long, s2 long, at int, ids binary")
 
 
 def encoded(docs: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`row` (all columns of `docs` but its text), with `ids` (binary: little-endian unsigned 32 bits each) and `decoded` of the whole text."""
     from pyspark.sql import types as T
 
+    # a slice is a row of some megabytes, so batches are bounded in bytes as well as in rows
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), whole().alias("text"))
-    slices = stored(sliced(inner, definition, slice_bytes))
-    found = word_table(slices, definition).groupBy(F.col("slice").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "ids", "text"))).alias("found"))
-    met = slices.drop("words").join(found, F.col("slice") == F.col("of"), "left").select("rows", "counts", "places", "found")
-    plain = _loaded(definition).decoder is None
-    schema = T.StructType([inner.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    found = word_ids(sliced(inner, definition, slice_bytes, True), definition).groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    met = sliced(inner, definition, slice_bytes, False).join(found, ["s1", "s2"], "left").select("rows", "counts", "places", "found")
+    return met.mapInArrow(_joined(definition), T.StructType([inner.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+
 
+def _joined(definition: str):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None if plain else Encoder(definition)
+        encoder = Encoder(definition)
         for batch in batches:
             for n in range(batch.num_rows):
-                rows, counts = batch.column("rows")[n].values, batch.column("counts")[n].as_py()
-                words = batch.column("found")[n].values
-                ids = np.array(words.field("ids").to_pylist() if words is not None else [], object)
-                texts = np.array(words.field("text").to_pylist() if words is not None else [], object)
-                wide = 2 if len(ids) <= 1 << 16 else 4
-                raw = pa.decompress(batch.column("places")[n].as_buffer(), sum(counts) * wide, codec="zstd", asbytes=True) if sum(counts) else b""
-                places = np.frombuffer(raw, f"<u{wide}")
+                rows, counts, words = batch.column("rows")[n].values, batch.column("counts")[n].as_py(), batch.column("found")[n].values
+                size = sum(counts)
+                places = np.frombuffer(pa.decompress(batch.column("places")[n].as_buffer(), 4 * size, codec="zstd", asbytes=True) if size else b"", "<u4")
+                if size and words is None:
+                    raise ValueError("the table gave its rows in another order when it was read again: store it before encoding")
+                ids = np.empty(int(places.max()) + 1 if size else 0, object)
+                if size:
+                    ids[words.field("at").to_numpy(zero_copy_only=False)] = words.field("ids").to_pylist()
+                texts = None
+                if encoder.decoder is None:
+                    texts = np.array([" ".join(encoder.pieces(np.frombuffer(x, "<u4").tolist())) for x in ids], object)
                 out_ids, out_texts, start = [], [], 0
                 for count in counts:
                     at = places[start : start + count]
                     start += count
                     out_ids.append(b"".join(ids[at].tolist()))
-                    if plain:
+                    if texts is not None:
                         out_texts.append(" ".join(filter(None, texts[at].tolist())))
                     else:
-                        pieces = encoder.pieces(np.frombuffer(out_ids[-1], "<u4").tolist())
-                        out_texts.append(encoder.decoder.decode(pieces))
+                        out_texts.append(encoder.decoder.decode(encoder.pieces(np.frombuffer(out_ids[-1], "<u4").tolist())))
                 yield pa.RecordBatch.from_arrays([rows, pa.array(out_ids, pa.binary()), pa.array(out_texts, pa.string())], names=["row", "ids", "decoded"])
 
-    return met.mapInArrow(join, schema)
+    return join
 
 
 def definition_of(path: str) -> str:
@@ -245,7 +257,7 @@ def bpe(docs: DataFrame, path: str | None = None, slice_bytes: int = SLICE_BYTES
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of `docs`.
 
     Null and empty texts, and texts of white space, have no tokens and the digests of nothing. Texts of any length are encoded whole. Repeated rows give repeated results,
-    extra columns are not read, an empty table gives no rows.
+    extra columns are not read, an empty table gives no rows. The table is read twice and has to give its rows in one order, as files and stored tables do.
     """
     out = encoded(docs.select("doc_id", "text"), definition_of(path or tokenizer_file()), slice_bytes)
     return out.select("row.doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
