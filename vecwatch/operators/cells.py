@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..sources.tables import durable
 from . import similarity as S
 
 CELLS = 256            # centres per dimension, at most
@@ -79,6 +80,19 @@ def build(points: DataFrame, root: str, cells: int = CELLS) -> None:
     dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{root}/points")
 
 
+def bounds_of(cells: dict, matrix: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The cells of a dimension and the best score that each query could find in each."""
+    dim = matrix.shape[1]
+    own = [c for c, r in cells.items() if r["dim"] == dim]
+    if not own:
+        return own, np.zeros((len(matrix), 0))
+    radius = np.array([cells[c]["radius"] for c in own])
+    if cells[own[0]]["centre"] is None:
+        return own, np.ones((len(matrix), len(own)))
+    angle = np.arccos(np.clip(matrix @ np.array([cells[c]["centre"] for c in own]).T, -1, 1))
+    return own, np.cos(np.clip(angle - radius, 0, np.pi)) + SLACK
+
+
 class Layout:
     """A stored layout, and what its last search read."""
 
@@ -91,24 +105,16 @@ class Layout:
 
     def bounds(self, matrix: np.ndarray) -> tuple[list[int], np.ndarray]:
         """The cells of a dimension and the best score that each query could find in each."""
-        dim = matrix.shape[1]
-        own = [c for c, r in self.cells.items() if r["dim"] == dim]
-        if not own:
-            return own, np.zeros((len(matrix), 0))
-        radius = np.array([self.cells[c]["radius"] for c in own])
-        if self.cells[own[0]]["centre"] is None:
-            return own, np.ones((len(matrix), len(own)))
-        angle = np.arccos(np.clip(matrix @ np.array([self.cells[c]["centre"] for c in own]).T, -1, 1))
-        return own, np.cos(np.clip(angle - radius, 0, np.pi)) + SLACK
+        return bounds_of(self.cells, matrix)
 
     def search(self, queries: DataFrame, k: int, threshold: float | None = None, *, scope: Sequence[str] = (), payload: Sequence[str] = (), predicate=None) -> DataFrame:
         """Per query the best k points with cosine >= threshold (all without one), ties by id: rows as `similarity_search` gives them.
 
-        The queries are a bounded table; more than BROADCAST_QUERIES of them are an error, to be searched in blocks. Equality on `scope` and `predicate` cut the rows of a cell.
+        Up to BROADCAST_QUERIES queries are shipped to the cells they visit; more of them meet the cells in tiles. Equality on `scope` and `predicate` cut the rows of a cell.
         """
         table = S._bounded_rows(queries.select("query_id", "vector", *[f"q_{s}" for s in scope]), S.BROADCAST_QUERIES)
         if table is None or table.num_rows * k > S.SURVIVOR_ROWS:
-            raise ValueError(f"at most {S.BROADCAST_QUERIES} queries and {S.SURVIVOR_ROWS} results at once")
+            return self._search_many(queries, k, threshold, scope, payload, predicate)
         names = list(dict.fromkeys(["point_id", *payload]))
         schema = T.StructType([queries.schema["query_id"], *[self.schema[c] for c in names], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
         best = self.spark.createDataFrame([], schema)
@@ -145,6 +151,48 @@ class Layout:
                 break
         return best
 
+    def _search_many(self, queries: DataFrame, k: int, threshold: float | None, scope: Sequence[str], payload: Sequence[str], predicate) -> DataFrame:
+        """The same rounds for any number of queries: a round's visits are rows, which meet the points by cell, and its results are stored."""
+        queries = queries.select("query_id", "vector", *[f"q_{s}" for s in scope])
+        names = list(dict.fromkeys(["point_id", *payload]))
+        shipped = self.spark.sparkContext.broadcast(self.cells)
+        base = -np.inf if threshold is None else threshold
+
+        def visits_of(done: int, step: int):
+            def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    floors = batch.column("floor").fill_null(base).to_numpy(zero_copy_only=False)
+                    for dim in S._dimensions(batch.column("vector")):
+                        matrix, rows = S._matrix(batch.column("vector"), dim)
+                        own, bound = bounds_of(shipped.value, matrix)
+                        order = np.argsort(-bound, axis=1)[:, done:done + step]
+                        row, at = np.nonzero(np.take_along_axis(bound, order, axis=1) >= floors[rows][:, None])
+                        taken = pa.array(rows[row])
+                        yield pa.RecordBatch.from_arrays(
+                            [*(c.take(taken) for c in batch.columns[:-1]), pa.array(floors[rows[row]]), pa.array(np.array(own, np.int32)[order[row, at]])],
+                            names=[*batch.schema.names[:-1], "q_threshold", "q_cell"])
+            return visit
+
+        visited = T.StructType([*queries.schema.fields, T.StructField("q_threshold", T.DoubleType()), T.StructField("q_cell", T.IntegerType())])
+        floors, best = self.spark.createDataFrame([], T.StructType([queries.schema["query_id"], T.StructField("floor", T.DoubleType())])), None
+        most = max((sum(1 for r in self.cells.values() if r["dim"] == dim) for dim in {r["dim"] for r in self.cells.values()}), default=0)
+        self.rounds, done, step = [], 0, FIRST
+        while best is None or done < most:
+            visits = queries.join(floors, "query_id", "left").select(*queries.columns, "floor").mapInArrow(visits_of(done, step), visited)
+            read = sorted(r["q_cell"] for r in visits.select("q_cell").distinct().collect())  # one row per cell
+            if not read and best is not None:
+                break
+            self.rounds.append(read)
+            rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/points").where(F.col("cell").isin(*read) if read else F.lit(False))
+            rows = rows if predicate is None else rows.where(predicate)
+            found = S.score_join(visits, rows, k=k, scope=("cell", *scope), payload=names, broadcast_queries=0)
+            if best is not None:
+                found = best.drop("rank").unionByName(found)
+            best = durable(S.best_per_query(found, k).select("query_id", *names, "score", "rank"))
+            floors = best.where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("floor"))
+            done, step = done + step, step * 2
+        return best
+
     def _visited(self, table: pa.Table, visits: dict[int, list[int]], floors: np.ndarray, k: int, schema: T.StructType, scope, names, predicate) -> DataFrame:
         rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/points").where(F.col("cell").isin(*visits))
         if predicate is not None:
