@@ -1,12 +1,15 @@
 """Keyed state over streams: batches that time out, and watch-list entries that take their patches as they arrive.
 
-Both run on Spark's arbitrary state with timers, one key per batch or entry. The state store has to be the one that keeps its state on disk;
-`use_disk_state` sets it.
+Both run on Spark's arbitrary state with timers. Batches or entries of one hash bucket share a key, so that a micro-batch costs a call into Python and two of
+the state store per bucket, not per batch or entry. The state store has to be the one that keeps its state on disk; `use_disk_state` sets it. A checkpoint
+belongs to the number of buckets it was made with.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -14,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import config as C
 
+BUCKETS = 256  # keys of the state: batches or entries by the hash of their id
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -21,9 +25,13 @@ def use_disk_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def _bucket(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 # --- timeouts ---------------------------------------------------------------------
 TIMED_OUT = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("status", T.StringType()), T.StructField("error_message", T.StringType()), T.StructField("deadline", T.TimestampType())])
-_OPEN = T.StructType([T.StructField("deadline_ms", T.LongType()), T.StructField("ended", T.BooleanType())])
+_OPEN = T.StructType([T.StructField("timer_ms", T.LongType()), T.StructField("batches", T.StringType())])
 
 
 def _millis(times: pd.Series) -> list[int]:
@@ -31,47 +39,69 @@ def _millis(times: pd.Series) -> list[int]:
 
 
 class _Timeouts(StatefulProcessor):
-    """One deadline per batch. What has ended stays known for as long again as the timeout, so that repeated messages open nothing; then its state is dropped."""
+    """One deadline per batch. What has ended stays known for as long again as the timeout, so that repeated messages open nothing; then its state is dropped.
 
-    def __init__(self, seconds: int, opened: str, status: str, text: str):
-        self.span, self.opened, self.status, self.text = seconds * 1000, opened, status, text
+    A bucket holds {batch: [deadline, ended]} as JSON and one timer, at its earliest deadline or before.
+    """
+
+    def __init__(self, seconds: int, opened: str, status: str, text: str, time_mode: str):
+        self.span, self.opened, self.status, self.text, self.time_mode = seconds * 1000, opened, status, text, time_mode
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("batch", _OPEN)
+        self.handle, self.state = handle, handle.getValueState("batches", _OPEN)
 
-    def _told(self, key, deadline: int) -> pd.DataFrame:
-        return pd.DataFrame({"batch_id": [key[0]], "status": [self.status], "error_message": [self.text], "deadline": pd.to_datetime([deadline], unit="ms")})
+    def _load(self) -> tuple[int | None, dict]:
+        state = self.state.get() if self.state.exists() else None
+        return (None, {}) if state is None else (state[0], json.loads(state[1]))
+
+    def _keep(self, timer: int | None, held: dict) -> None:
+        if not held:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.state.clear()
+            return
+        first = min(deadline for deadline, _ in held.values())
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        self.state.update((timer, json.dumps(held)))
+
+    def _told(self, late: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if late:
+            yield pd.DataFrame({"batch_id": [b for b, _ in late], "status": self.status, "error_message": self.text, "deadline": pd.to_datetime([d for _, d in late], unit="ms")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told = pd.concat(list(rows))
-        events = sorted(zip(_millis(told["at"]), (told["kind"] != self.opened).tolist()))
-        state = self.state.get() if self.state.exists() else None
-        deadline, ended = state if state is not None else (None, False)
-        for at, ends in events:
+        told, late = pd.concat(list(rows)), []
+        timer, held = self._load()
+        for batch, at, ends in sorted(zip(told["batch_id"].tolist(), _millis(told["at"]), (told["kind"] != self.opened).tolist())):
+            deadline, ended = held.get(batch, (None, False))
             if ended:
                 continue
             if not ends and deadline is None:
-                deadline = at + self.span
-                self.handle.registerTimer(deadline)
+                held[batch] = [at + self.span, False]
             elif ends:
-                ended = True
-                if deadline is not None:
-                    self.handle.deleteTimer(deadline)
-                    if at > deadline:  # the end came too late: the batch had timed out before
-                        yield self._told(key, deadline)
-                deadline = max(at, deadline or at) + self.span
-                self.handle.registerTimer(deadline)
-        self.state.update((deadline, ended))
+                if deadline is not None and at > deadline:  # the end came too late: the batch had timed out before
+                    late.append((batch, deadline))
+                held[batch] = [max(at, deadline or at) + self.span, True]
+        self._keep(timer, held)
+        yield from self._told(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline, ended = self.state.get()
-        if ended:
-            self.state.clear()
-            return
-        yield self._told(key, deadline)
-        again = expiredTimerInfo.getExpiryTimeInMs() + self.span
-        self.handle.registerTimer(again)
-        self.state.update((again, True))
+        fired, late = expiredTimerInfo.getExpiryTimeInMs(), []
+        now = timerValues.getCurrentWatermarkInMs() if self.time_mode == "EventTime" else timerValues.getCurrentProcessingTimeInMs()
+        timer, held = self._load()
+        for batch, (deadline, ended) in list(held.items()):
+            if deadline >= now and deadline > fired:
+                continue
+            if ended:
+                del held[batch]
+            else:
+                late.append((batch, deadline))
+                held[batch] = [deadline + self.span, True]
+        self._keep(None if timer is not None and timer <= fired else timer, held)
+        yield from self._told(late)
 
     def close(self) -> None:
         pass
@@ -87,7 +117,8 @@ def batch_timeouts(events: DataFrame, seconds: int = C.COMPUTE_TIMEOUT_SECONDS,
     rows = events.where(F.col("batch_id").isNotNull() & F.col("at").isNotNull()).select("batch_id", "kind", "at")
     if time_mode == "EventTime":
         rows = rows.withWatermark("at", late)
-    return rows.groupBy("batch_id").transformWithStateInPandas(_Timeouts(seconds, "opened", C.BATCH_ERROR, "compute timeout"), TIMED_OUT, "Append", time_mode)
+    rows = rows.withColumn("bucket", _bucket("batch_id"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Timeouts(seconds, "opened", C.BATCH_ERROR, "compute timeout", time_mode), TIMED_OUT, "Append", time_mode)
 
 
 # --- entry patches ------------------------------------------------------------------
@@ -97,6 +128,7 @@ ENTRY = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("category", T.StringType()), T.StructField("description", T.StringType()),
     T.StructField("active", T.BooleanType()), T.StructField("match_threshold", T.DoubleType()), T.StructField("json_data", T.StringType()), T.StructField("blacklist_version", T.IntegerType())])
 _HELD = T.StructType(ENTRY.fields[1:])
+_BUCKET = T.StructType([T.StructField("entries", T.StringType())])
 
 
 def _plain(value):
@@ -116,33 +148,47 @@ def patched(entry: dict, patch: dict, given: set[str]) -> dict:
 
 
 class _Patches(StatefulProcessor):
-    """The present entry per id; a patch of an unknown entry changes nothing."""
+    """The present entry per id; a patch of an unknown entry changes nothing. A bucket holds {id: fields} as JSON."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", _HELD)
+        self.state = handle.getValueState("entries", _BUCKET)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self._keep({n: _plain(row[n]) for n in _HELD.fieldNames()})
+    def _load(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {}
 
-    def _keep(self, entry: dict) -> None:
-        self.state.update((entry["name"], entry["category"], entry["description"], None if entry["active"] is None else bool(entry["active"]),
-                           None if entry["match_threshold"] is None else float(entry["match_threshold"]), entry["json_data"], int(entry["blacklist_version"])))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        held = self._load()
+        for row in initialState.to_dict("records"):
+            held.setdefault(row["entry_id"], _fields({n: _plain(row[n]) for n in _HELD.fieldNames()}))
+        self.state.update((json.dumps(held),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+        held, out = self._load(), []
+        if not held:
             return
-        entry = dict(zip(_HELD.fieldNames(), self.state.get()))
-        told = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for row in told.to_dict("records"):
-            entry = patched(entry, {n: _plain(row[n]) for n in _FIELDS}, set(row["given"]))
-        self._keep(entry)
-        yield pd.DataFrame([{"id": key[0], **entry}], columns=ENTRY.fieldNames()).astype({"active": "boolean", "match_threshold": "Float64", "blacklist_version": "int32"})
+        told = pd.concat(list(rows)).sort_values(["entry_id", "seq"], kind="stable")
+        for entry_id, patches in groupby(told.to_dict("records"), key=lambda row: row["entry_id"]):
+            if entry_id not in held:
+                continue
+            entry = dict(zip(_HELD.fieldNames(), held[entry_id]))
+            for row in patches:
+                entry = patched(entry, {n: _plain(row[n]) for n in _FIELDS}, set(row["given"]))
+            held[entry_id] = _fields(entry)
+            out.append({"id": entry_id, **entry})
+        if out:
+            self.state.update((json.dumps(held),))
+            yield pd.DataFrame(out, columns=ENTRY.fieldNames()).astype({"active": "boolean", "match_threshold": "Float64", "blacklist_version": "int32"})
 
     def close(self) -> None:
         pass
 
 
+def _fields(entry: dict) -> list:
+    """An entry's fields in order, as plain values."""
+    return [entry["name"], entry["category"], entry["description"], None if entry["active"] is None else bool(entry["active"]),
+            None if entry["match_threshold"] is None else float(entry["match_threshold"]), entry["json_data"], int(entry["blacklist_version"])]
+
+
 def patched_entries(patches: DataFrame, entries: DataFrame) -> DataFrame:
     """A stream of entries after the patches of each micro-batch, in order of arrival (entry_id, seq, patch JSON).
 
@@ -153,5 +199,6 @@ def patched_entries(patches: DataFrame, entries: DataFrame) -> DataFrame:
     body = F.from_json("patch", _PATCH)
     keys = F.coalesce(F.json_object_keys("patch"), F.array().cast("array<string>"))
     rows = patches.where(F.col("entry_id").isNotNull()).select("entry_id", "seq", keys.alias("given"), body.alias("b")).select("entry_id", "seq", "given", *[F.col(f"b.{n}").alias(n) for n in _FIELDS])
-    start = entries.select(F.col("id").alias("entry_id"), *_HELD.fieldNames())
-    return rows.groupBy("entry_id").transformWithStateInPandas(_Patches(), ENTRY, "Update", "None", initialState=start.groupBy("entry_id"))
+    rows = rows.withColumn("bucket", _bucket("entry_id"))
+    start = entries.where(F.col("id").isNotNull()).select(_bucket("id"), F.col("id").alias("entry_id"), *_HELD.fieldNames())
+    return rows.groupBy("bucket").transformWithStateInPandas(_Patches(), ENTRY, "Update", "None", initialState=start.groupBy("bucket"))
