@@ -269,6 +269,21 @@ def test_bpe(docs, size):
     assert Counter(tuple(r) for r in bpe.bpe(docs, slice_bytes=size).collect()) == want
 
 
+def test_bpe_exchange(spark):
+    """What a slice sends to meet other slices grows by buckets, not by a row for each of its words; all ids come back in place."""
+    from tokenizers import Tokenizer
+
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000)), "wa wa wb", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    definition = bpe.definition_of(bpe.tokenizer_file())
+    inner = docs.select(F.struct("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    back = bpe.word_ids(bpe.sliced(inner, definition, bpe.SLICE_BYTES, True), definition)
+    assert 0 < back.count() <= 2000
+    made = Tokenizer.from_file(bpe.tokenizer_file())
+    got = {r.row.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encoded(docs, definition).collect()}
+    assert got == {i: made.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_surrogates(docs):
     got = {r.doc_id: r for r in surrogates.surrogates(docs).collect()}
     assert got[0].text is None and got[4].text == ROWS[4][1] and got[4].n_entities == 0

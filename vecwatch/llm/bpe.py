@@ -2,6 +2,7 @@
 
 Texts are split in Spark tasks into the pieces that a tokenizer's pre-tokenizer makes. A run of documents (a slice) has its distinct words and, per document, the positions of
 its words among these. Words of all slices meet by word, where each distinct word is encoded once; its ids come back to each slice by position, whatever the number of words.
+They travel in buckets by a digest of the word: what a slice has in one bucket is one row of words and comes back as one row of ids, in the same order, so that no word carries a name or a number of its own.
 There is one plan at every size, and no text is shuffled or written. Words and positions come from two passes over the texts, as writing both down takes more disk than reading
 twice takes time. A slice is named by a digest of its words, so passes over rows in another order cannot be mistaken for one another: they end in an error. Tables read from files, and
 stored or cached ones, keep their order.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ from .common import whole
 
 SLICE_BYTES = 4 << 20  # text of a slice, about; a longer document is a slice of its own
 BATCH_BYTES = 64 << 20
+BUCKETS = 1024
+#: A bucket with more distinct words has some of them encoded again instead of remembered.
+REMEMBERED = 1 << 20
+BETWEEN = b"\xff"  # in no UTF-8 text
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -135,6 +141,30 @@ class Encoder:
         return [self.names[i] for i in ids if i in self.names]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as their lowest bytes, then their next ones, and so on: bytes that are mostly zero lie together."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(_planes(numbers), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer, size: int) -> np.ndarray:
+    return _numbers(pa.decompress(data, 4 * size, codec="zstd", asbytes=True) if size else b"")
+
+
+def _by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings words of one bucket together, the buckets met, and where each begins in that order."""
+    order = np.argsort(buckets, kind="stable")
+    met, starts = np.unique(buckets[order], return_index=True)
+    return order, met, np.append(starts, len(order))
+
+
 class _Slice:
     """Documents that are written as one row."""
 
@@ -158,16 +188,23 @@ class _Slice:
 
     def batch(self, kind: pa.DataType, with_words: bool) -> pa.RecordBatch:
         s1, s2 = self.name()
-        head = [pa.array([s1], pa.int64()), pa.array([s2], pa.int64())]
+        words = [w.encode() for w in self.words]
+        buckets = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
         if with_words:
-            return pa.RecordBatch.from_arrays([*head, pa.array([list(self.words)], pa.list_(pa.string()))], names=["s1", "s2", "words"])
-        # frequent words come early and have small numbers: entropy coding takes places to about ten bits each
-        places = pa.compress(np.concatenate([np.zeros(0, np.uint32), *self.at]).astype("<u4").tobytes(), codec="zstd", asbytes=True)
-        return pa.RecordBatch.from_arrays([*head, pa.array([self.rows], pa.list_(kind)), pa.array([self.counts], pa.list_(pa.int32())), pa.array([places], pa.binary())], names=["s1", "s2", "rows", "counts", "places"])
+            order, met, edges = _by_bucket(buckets)
+            words = [words[i] for i in order.tolist()]
+            runs = [BETWEEN.join(words[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array([s1] * len(met), pa.int64()), pa.array([s2] * len(met), pa.int64()), pa.array(met.astype(np.int32)), pa.array(runs, pa.binary())], names=["s1", "s2", "bucket", "words"])
+        # a word is 0 where it is new, else its number plus 1; frequent words come early and have small numbers
+        at = np.concatenate([np.zeros(0, np.uint32), *self.at]).astype(np.int64)
+        new = at > np.maximum.accumulate(np.concatenate([[-1], at]))[:-1]
+        places = _packed(np.where(new, 0, at + 1))
+        return pa.RecordBatch.from_arrays([pa.array([s1], pa.int64()), pa.array([s2], pa.int64()), pa.array([self.rows], pa.list_(kind)), pa.array([self.counts], pa.list_(pa.int32())),
+                                           pa.array([places], pa.binary()), pa.array([len(words)], pa.int32()), pa.array([_packed(buckets)], pa.binary())], names=["s1", "s2", "rows", "counts", "places", "n_words", "buckets"])
 
 
 def sliced(rows: DataFrame, definition: str, slice_bytes: int, with_words: bool) -> DataFrame:
-    """Slices of `rows` (a struct `row`, and `text`): their name (s1, s2) and either their words, or their rows, words per row and places of all words (zstd of 4-byte little-endian numbers)."""
+    """Slices of `rows` (a struct `row`, and `text`): their name (s1, s2) and either their words, a row for each bucket, or their rows, words per row, places of all words, and number and buckets of the distinct ones."""
     from pyspark.sql import types as T
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,26 +220,32 @@ def sliced(rows: DataFrame, definition: str, slice_bytes: int, with_words: bool)
             yield made.batch(kind, with_words)
 
     name = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
-    words = [T.StructField("words", T.ArrayType(T.StringType()))]
-    places = [T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType())]
+    words = [T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]
+    places = [T.StructField("rows", T.ArrayType(rows.schema["row"].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType()),
+              T.StructField("n_words", T.IntegerType()), T.StructField("buckets", T.BinaryType())]
     return rows.mapInArrow(cut, T.StructType(name + (words if with_words else places)))
 
 
 def word_ids(slices: DataFrame, definition: str) -> DataFrame:
-    """(s1, s2, at, ids) of every word of every slice: each distinct word of the corpus is in one task, where it is encoded once, however many slices have it."""
+    """(s1, s2, bucket, ids) of the words of every slice and bucket: a bucket of the corpus is in one task, where each distinct word is encoded once, however many slices have it.
+    `ids` tells how many ids each word has, then the ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, ids = Encoder(definition), None, b""
+        encoder, last, known = Encoder(definition), None, {}
         for batch in batches:
             out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    ids, last = np.array(encoder.ids(word), "<u4").tobytes(), word
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s1", "s2", "at")), pa.array(out, pa.binary())], names=["s1", "s2", "at", "ids"])
+            for bucket, run in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != last or len(known) > REMEMBERED:
+                    known, last = {}, bucket
+                words = run.split(BETWEEN)
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(encoder.ids(word.decode()), "<u4").tobytes()
+                found = [known[word] for word in words]
+                out.append(_planes(np.fromiter(map(len, found), np.int64, len(found)) // 4) + _planes(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s1", "s2", "bucket")), pa.array(out, pa.binary())], names=["s1", "s2", "bucket", "ids"])
 
-    words = slices.select("s1", "s2", F.posexplode("words").alias("at", "word"))
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "s1 long, s2 long, at int, ids binary")
+    return slices.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, "s1 long, s2 long, bucket int, ids binary")
 
 
 def encoded(docs: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -212,24 +255,38 @@ def encoded(docs: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) ->
     # a slice is a row of some megabytes, so batches are bounded in bytes as well as in rows
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), whole().alias("text"))
-    found = word_ids(sliced(inner, definition, slice_bytes, True), definition).groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    met = sliced(inner, definition, slice_bytes, False).join(found, ["s1", "s2"], "left").select("rows", "counts", "places", "found")
+    found = word_ids(sliced(inner, definition, slice_bytes, True), definition).groupBy("s1", "s2").agg(F.collect_list(F.struct("bucket", "ids")).alias("found"))
+    met = sliced(inner, definition, slice_bytes, False).join(found, ["s1", "s2"], "left").select("rows", "counts", "places", "n_words", "buckets", "found")
     return met.mapInArrow(_joined(definition), T.StructType([inner.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
 
+def _ids_of_words(buckets: np.ndarray, found: pa.Array | None) -> np.ndarray:
+    """The ids of every word of a slice, by its number; `found` has what came back for each bucket."""
+    order, met, edges = _by_bucket(buckets)
+    # slices of equal words have one name, so a bucket may have come back more than once
+    came = dict(zip(found.field("bucket").to_pylist(), found.field("ids").to_pylist())) if found is not None else {}
+    if list(came.keys() - set(met.tolist())) or len(came) != len(met):
+        raise ValueError("the table gave its rows in another order when it was read again: store it before encoding")
+    ids = np.empty(len(order), object)
+    for bucket, a, b in zip(met.tolist(), edges.tolist(), edges[1:].tolist()):
+        data, k = came[bucket], 4 * (b - a)
+        ends = 4 * np.cumsum(_numbers(data[:k]), dtype=np.int64)
+        whole_run = _numbers(data[k:]).tobytes()
+        for i, start, end in zip(order[a:b].tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            ids[i] = whole_run[start:end]
+    return ids
+
+
 def _joined(definition: str):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(definition)
         for batch in batches:
             for n in range(batch.num_rows):
-                rows, counts, words = batch.column("rows")[n].values, batch.column("counts")[n].as_py(), batch.column("found")[n].values
-                size = sum(counts)
-                places = np.frombuffer(pa.decompress(batch.column("places")[n].as_buffer(), 4 * size, codec="zstd", asbytes=True) if size else b"", "<u4")
-                if size and words is None:
-                    raise ValueError("the table gave its rows in another order when it was read again: store it before encoding")
-                ids = np.empty(int(places.max()) + 1 if size else 0, object)
-                if size:
-                    ids[words.field("at").to_numpy(zero_copy_only=False)] = words.field("ids").to_pylist()
+                rows, counts, found = batch.column("rows")[n].values, batch.column("counts")[n].as_py(), batch.column("found")[n].values
+                places = _unpacked(batch.column("places")[n].as_buffer(), sum(counts)).astype(np.int64) - 1
+                new = places < 0
+                places[new] = np.arange(int(new.sum()))
+                ids = _ids_of_words(_unpacked(batch.column("buckets")[n].as_buffer(), batch.column("n_words")[n].as_py()), found)
                 texts = None
                 if encoder.decoder is None:
                     texts = np.array([" ".join(encoder.pieces(np.frombuffer(x, "<u4").tolist())) for x in ids], object)
