@@ -257,6 +257,20 @@ def test_near_group_around_a_base(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, 4).collect()} == want
 
 
+def test_far_pairs_with_a_common_passage(spark, monkeypatch):
+    """Texts that share a passage and a key, but are no links, are not told as pairs; pairs among them that are links are found."""
+    passage, data = prose(60, 56), []
+    for i in range(80):
+        own = prose(1000 + i, 34)
+        data += [(2 * i, f"{passage} {own}"), (2 * i + 1, f"{passage} {own} {prose(3000 + i, 4)}" if i % 8 == 0 else f"{passage} {prose(5000 + i, 34)}")]
+    told, asked = near_dedup.stored, []
+    monkeypatch.setattr(near_dedup, "stored", lambda df: (asked.append(told(df)), asked[-1])[1])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), 4).collect()}
+    assert got == {i: i - 1 if i % 16 == 1 else i for i in range(160)}
+    pairs = [df.count() for df in asked if {"root_x", "root_y"} <= set(df.columns) or df.columns == ["a", "b"]]
+    assert max(pairs) < 160 * 10
+
+
 @pytest.mark.parametrize("size", [bpe.SLICE_BYTES, 200])
 def test_bpe(docs, size):
     from tokenizers import Tokenizer
