@@ -623,7 +623,8 @@ def _(d):
     messages = E.to_envelope(_computed(d).select("batch_id", "results"), C.EVENT_INDEX_COMPUTED)
     order = _computed(d).select("batch_id", "seq", F.col("results")[0]["image_id"].alias("image_id"))
     image = F.get_json_object("payload", "$.results[0].image_id")
-    stream = messages.withColumn("image_id", image).join(order, "image_id").select("event_type", "payload", F.concat(F.col("seq").cast("string"), F.lit("-0")).alias("stream_id"))
+    # a row of either side has vectors behind it, so none is sent to all tasks by way of the driver
+    stream = messages.withColumn("image_id", image).hint("shuffle_merge").join(order, "image_id").select("event_type", "payload", F.concat(F.col("seq").cast("string"), F.lit("-0")).alias("stream_id"))
     for _ in range(2):
         jobs.apply_index(ws, stream, 1)
     points = ws.table("index_points").live().groupBy(F.col("batch_id").alias("id")).agg(F.count(F.lit(1)).alias("points"))
