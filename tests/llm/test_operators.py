@@ -564,6 +564,27 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
     assert sum(re.sub(r"\s+", " ", t or "").lower() == ROWS[4][1] for t in texts) <= 3  # at most the copies that mixing makes
 
 
+@pytest.mark.parametrize("build", [
+    lambda docs: toxicity.scored(docs, toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0)), lambda docs: near_dedup.signatures(docs, 4),
+    lambda docs: bpe.encoded(docs, bpe.definition_of(bpe.tokenizer_file()))], ids=["toxicity", "near_dedup", "bpe"])
+def test_batches_of_whole_texts_are_bounded_in_bytes(spark, build):
+    """No batch that an operator sends to Python is much larger than the bound, whatever its number of rows and the session's setting before."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 250).alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    out = build(docs)
+
+    def told(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    sizes = docs.mapInArrow(told, "size long, n long").collect()
+    assert sum(r.n for r in sizes) == 4000 and max(r.size for r in sizes) < 5 << 20
+    if "row" in out.columns and "score" in out.columns:  # every row comes back, over the bounds of batches
+        assert out.select("row.doc_id").distinct().count() == out.count() == 4000
+
+
 def test_registered():
     names = list(catalog.queries())
     assert [n for n in names if n.startswith("op")] and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and set(catalog.oracle_sql()) <= set(names)

@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole
+from .common import bounded_batches, whole
 
 SLICE_BYTES = 4 << 20  # text of a slice, about; a longer document is a slice of its own
-BATCH_BYTES = 64 << 20
 BUCKETS = 1024
 #: A bucket with more distinct words has some of them encoded again instead of remembered.
 REMEMBERED = 1 << 20
@@ -253,8 +252,7 @@ def encoded(docs: DataFrame, definition: str, slice_bytes: int = SLICE_BYTES) ->
     from pyspark.sql import types as T
 
     # a slice is a row of some megabytes, so batches are bounded in bytes as well as in rows
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), whole().alias("text"))
+    inner = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), whole().alias("text"))
     found = word_ids(sliced(inner, definition, slice_bytes, True), definition).groupBy("s1", "s2").agg(F.collect_list(F.struct("bucket", "ids")).alias("found"))
     met = sliced(inner, definition, slice_bytes, False).join(found, ["s1", "s2"], "left").select("rows", "counts", "places", "n_words", "buckets", "found")
     return met.mapInArrow(_joined(definition), T.StructType([inner.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))

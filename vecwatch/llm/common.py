@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if it was counted to have at most so many (narrow) rows.
 BROADCAST_ROWS = 100_000
+#: Bytes of a batch of whole texts on its way to Python, about; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +46,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, at_most: int = BATCH_BYTES) -> DataFrame:
+    """`df`, with batches that go to Python bounded in bytes as well as in rows.
+
+    A batch stands in the JVM's native memory several times over (vectors that double as they grow, the stream's buffer, the answer) and in the Python worker, for every task at once; freed
+    blocks of that size are kept by the allocator. Batches that are bounded in rows alone make executors larger as texts get longer."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(at_most))
+    return df
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text of an Arrow column, a null one as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import as_bytes, lowered_words, mixed, packed, row_key, shingle_hashes, slices, stored, unpacked, whole, word_hashes
+from .common import as_bytes, bounded_batches, lowered_words, mixed, packed, row_key, shingle_hashes, slices, stored, unpacked, whole, word_hashes
 
 SIDE = 9
 BAND = 2
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), batch.column("k1"), batch.column("k2"), pa.array(mins, pa.binary())],
                     names=[x.split()[0] for x in SIGNED.split(", ")])
 
-    return docs.select("doc_id", "text", *row_key("doc_id", "text")).mapInArrow(sign, SIGNED)
+    return bounded_batches(docs.select("doc_id", "text", *row_key("doc_id", "text"))).mapInArrow(sign, SIGNED)
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -93,14 +93,11 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "mins").mapInArrow(pair, "key long, cls long")
 
 
-BATCH_BYTES = 32 << 20
 JUDGED = "a long, b long, linked boolean, inside int, size_b int, outside array<bigint>"
 
 
 def _texts(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, text): the text of one row of each class asked for."""
-    # a lead's text stands in the row of each of its pairs, so batches are bounded in bytes as well as in rows
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     asked = asked.select("cls").distinct().join(classes.select("cls", "k1", "k2"), "cls")
     texts = docs.select(whole().alias("text"), *row_key("doc_id", "text"))
     return texts.join(asked.hint("shuffle_hash"), ["k1", "k2"]).groupBy("cls").agg(F.any_value("text").alias("text"))
@@ -115,7 +112,7 @@ def _shingles(texts: DataFrame, n: int) -> DataFrame:
                 found = [shingle_set(text, n).view(np.int64) for text in as_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.list_(pa.int64()))], names=["cls", "tokens"])
 
-    return texts.mapInArrow(cut, "cls long, tokens array<bigint>")
+    return bounded_batches(texts).mapInArrow(cut, "cls long, tokens array<bigint>")
 
 
 def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, outside_too: bool = True) -> DataFrame:
@@ -144,7 +141,8 @@ def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
 
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, JUDGED))
+    # a lead's text stands in the row of each of its pairs
+    return stored(bounded_batches(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")).mapInArrow(compare, JUDGED))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mixed, packed, unpacked, word_hashes
+from .common import bounded_batches, mixed, packed, unpacked, word_hashes
 
 SAMPLE_ROWS = 4096  # bound of the labelled rows a fit uses: those with the smallest hashes of their ids
 BUCKETS = 1 << 15
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
                  pa.array([(b * PACKED).astype(np.float16).tobytes() for _, b in made], pa.binary())],
                 names=["doc_id", "y", "at", "share"])
 
-    found = texts.mapInArrow(bags, "doc_id string, y int, at binary, share binary").toLocalIterator()
+    found = bounded_batches(texts).mapInArrow(bags, "doc_id string, y int, at binary, share binary").toLocalIterator()
     got = sorted(((r["doc_id"], r["y"], r["at"], r["share"]) for r in found), key=lambda r: r[0])
     return train([(np.frombuffer(at, np.uint16), np.frombuffer(share, np.float16)) for _, _, at, share in got], np.array([r[1] for r in got], np.int64))
 
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())])
-    return rows.mapInArrow(score, schema)
+    return bounded_batches(rows).mapInArrow(score, schema)
 
 
 def held_out(doc_id="doc_id"):
