@@ -588,3 +588,24 @@ def test_batches_of_whole_texts_are_bounded_in_bytes(spark, build):
 def test_registered():
     names = list(catalog.queries())
     assert [n for n in names if n.startswith("op")] and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and set(catalog.oracle_sql()) <= set(names)
+
+
+def test_near_components_in_small_plans(spark, monkeypatch):
+    """A step of the rounds reads each table once or twice: what stands several times in one plan is broadcast by the driver several times at once. More links join the components found before."""
+    chains = [[(10 * i, 10 * i + 1) for i in range(4)], [(3, 2), (5, 3), (5, 40), (7, 6)], [(1, 10), (40, 2), (8, 9), (6, 7), (30, 31)]]
+    links = [spark.createDataFrame(x, "a long, b long") for x in (chains[0] + chains[1], chains[2])]
+    told, reads = near_dedup.stored, []
+    monkeypatch.setattr(near_dedup, "stored", lambda df: (reads.append(df._jdf.queryExecution().analyzed().collectLeaves().size()), told(df))[1])
+
+    def want(pairs):
+        least = {x: x for pair in pairs for x in pair}
+        for _ in least:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    first = near_dedup.components(links[0])
+    assert {r.cls: r.root for r in first.collect()} == want(chains[0] + chains[1])
+    assert max(reads) <= 3
+    got = [(r.cls, r.root) for r in near_dedup._joined_roots(first, links[1]).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want(sum(chains, []))

@@ -147,15 +147,16 @@ def judged(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
 
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable class of every class in a link: (cls, root). Each round every class takes the smallest root of its neighbours, then roots
-    are followed once more; the rounds end when nothing changes. Tables of a round are stored before the next one reads them."""
+    are followed once more; the rounds end when nothing changes. Every step of a round is stored before the next one reads it: a step that is read
+    several times inside one plan is planned, and its sides are broadcast by the driver, several times at once."""
     links = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
     roots = stored(links.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = links.join(roots.select(F.col("cls").alias("b"), "root"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("root").alias("near"))
-        told = roots.join(near, "cls").select("cls", "root", F.least("root", "near").alias("low"))
+        told = stored(roots.join(near, "cls").select("cls", "root", F.least("root", "near").alias("low")))
         # a smaller root found by one member is told to the old root, and everyone follows its root's root
         hooks = told.where("low < root").groupBy(F.col("root").alias("cls")).agg(F.min("low").alias("hook"))
-        told = told.join(hooks, "cls", "left").select("cls", "root", F.least("low", "hook").alias("low"))
+        told = stored(told.join(hooks, "cls", "left").select("cls", "root", F.least("low", "hook").alias("low")))
         jump = told.select(F.col("cls").alias("low"), F.col("low").alias("next"))
         moved = stored(told.join(jump, "low").select("cls", F.col("root").alias("was"), F.least("low", "next").alias("root")))
         roots = moved.select("cls", "root")
@@ -163,6 +164,15 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, root) after more links: these join components found before, so only the roots at their ends go through the rounds again."""
+    ends = _rooted(_rooted(links, roots, "a", "root_a"), roots, "b", "root_b")
+    over = components(ends.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    over = over.select(F.col("cls").alias("root"), F.col("root").alias("over"))
+    both = roots.join(over, "root", "full")  # a root without a link of its own has not been listed
+    return stored(both.select(F.coalesce("cls", "root").alias("cls"), F.coalesce("over", "root").alias("root")))
+
+
 def near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, its digest and keys, and component_id."""
     rows = stored(signatures(docs, n))
@@ -176,8 +186,8 @@ def near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = components(links)
     rest = stored(_near_rest(told, roots, percent).union(_far_rest(shared, told, roots, sizes, percent, lambda asked: _shingles(_texts(asked, classes, docs), n))).distinct())
     if not rest.isEmpty():
-        roots = components(links.union(judged(rest, classes, docs, n, percent, outside_too=False).where("linked").select("a", "b")))
-    classes = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        roots = _joined_roots(roots, judged(rest, classes, docs, n, percent, outside_too=False).where("linked").select("a", "b"))
+    classes = stored(_rooted(classes.select("cls", "least_id", "d1", "d2"), roots, "cls", "root"))
     names = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = classes.join(names, "root").select("d1", "d2", "component_id")
     # a set that a great many documents share is one skewed key of this join, which Spark splits at run time
@@ -241,21 +251,27 @@ def _far_rest(shared: DataFrame, told: DataFrame, roots: DataFrame, sizes: DataF
     distance = 1 - F.col("inside") / (F.col("size_b") + F.col("size_a") - F.col("inside"))
     known = told.join(sizes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("size_a")), "a").select(
         F.col("a").alias("lead"), F.col("b").alias("cls"), distance.alias("d"), F.col("outside").isNotNull().alias("near"))
-    rows = _rooted(shared.where("cls <> lead"), roots, "cls", "root").join(sizes.select("cls", "n_shingles"), "cls")
-    rows = rows.join(known, ["lead", "cls"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    split = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("near")).alias("far")).where("lo < hi and far > 0").select("key")
-    rows = rows.join(split, "key", "left_semi").select("lead", "cls", "root", "d", "near", "n_shingles").distinct()
+    # what is known of a class and a lead is joined once, not for each key they share
+    shared = shared.where("cls <> lead")
+    facts = _rooted(shared.select("lead", "cls").distinct(), roots, "cls", "root").join(sizes.select("cls", "n_shingles"), "cls")
+    facts = stored(facts.join(known, ["lead", "cls"], "left").withColumn("near", F.coalesce("near", F.lit(False))))
+    split = shared.join(facts.select("lead", "cls", "root", "near"), ["lead", "cls"])
+    split = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("near")).alias("far")).where("lo < hi and far > 0")
+    asked = stored(shared.join(split.select("key"), "key", "left_semi").select("lead", "cls").distinct())
+    if asked.isEmpty():  # no key has classes of several components that are not all near its lead
+        return asked.select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     prints = F.concat(*[F.substring("mins", i * 8 + 1, PRINT) for i in range(HASHES)])
-    rows = stored(rows.join(sizes.select("cls", "mins"), "cls").select("*", prints.alias("prints")))
+    rows = stored(facts.join(asked, ["lead", "cls"], "left_semi").join(sizes.select("cls", prints.alias("prints")), "cls"))
     # pairs that agree in LEAST_EQUAL minhashes share one among the first ones of each, in order of rarity near the lead: what all have in common is not looked at
     words = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda i: F.xxhash64(i, F.substring(F.col("mins"), i * 8 + 1, F.lit(8))))
-    tokens = stored(rows.select("lead", "cls", F.explode(words).alias("token")))
+    cut = sizes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", F.explode(words).alias("token"))  # once for a class, however many leads it has
+    tokens = stored(asked.join(cut, "cls").select("lead", "cls", "token"))
     often = tokens.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     order = W.partitionBy("lead", "cls").orderBy(F.coalesce("often", F.lit(1)), "token")
     early = tokens.join(often, ["lead", "token"], "left").withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= HASHES - LEAST_EQUAL + 1) & (F.col("often") > 1))
-    early = stored(early.select("lead", "cls", "token").join(rows.drop("mins", "prints"), ["lead", "cls"]))
+    early = stored(early.select("lead", "cls", "token").join(rows.drop("prints"), ["lead", "cls"]))
     meet = early.groupBy("lead", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("near")).alias("far")).where("lo < hi and far > 0")
-    rows = stored(rows.drop("mins").join(early.join(meet, ["lead", "token"], "left_semi").select("lead", "cls").distinct(), ["lead", "cls"]))
+    rows = stored(rows.join(early.join(meet, ["lead", "token"], "left_semi").select("lead", "cls").distinct(), ["lead", "cls"]))
     # sets that are links share one of the first shingles of each in any order, for a set of n those before the last percent * n / 100
     tokens = stored(rows.select("lead", "cls", "n_shingles").join(shingles_of(rows), "cls").select("lead", "cls", "n_shingles", F.explode("tokens").alias("token")))
     often = tokens.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
