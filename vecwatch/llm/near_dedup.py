@@ -169,8 +169,9 @@ def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     ends = _rooted(_rooted(links, roots, "a", "root_a"), roots, "b", "root_b")
     over = components(ends.where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     over = over.select(F.col("cls").alias("root"), F.col("root").alias("over"))
-    both = roots.join(over, "root", "full")  # a root without a link of its own has not been listed
-    return stored(both.select(F.coalesce("cls", "root").alias("cls"), F.coalesce("over", "root").alias("root")))
+    moved = roots.join(over, "root", "left").select("cls", F.coalesce("over", "root").alias("root"))  # a large component is one skewed key, which Spark splits at run time
+    new = over.join(roots.select(F.col("cls").alias("root")), "root", "left_anti").select(F.col("root").alias("cls"), F.col("over").alias("root"))
+    return stored(moved.union(new))
 
 
 def near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
