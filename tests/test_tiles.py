@@ -128,3 +128,18 @@ def test_cells_take_any_number_of_queries(spark, monkeypatch, threshold):
     layout = cells.Layout(spark, root, points.schema)
     assert key(layout.search(queries, 5, threshold, scope=("tenant",), payload=("batch",))) == want
     assert layout.search(queries.limit(0), 5, threshold, scope=("tenant",)).count() == 0
+
+
+def test_best_k_leave_wide_point_tiles_once_and_are_ranked_in_one_shuffle(spark):
+    """More points than TILE_ROWS whose cells fit into one tile: each query's best k leave it once, and are not dealt out again by slices before they are ranked."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((S.TILE_ROWS + 3000, 4)).astype(np.float32)
+    points = spark.createDataFrame(pa.table({"point_id": [f"p{i:06d}" for i in range(len(vectors))], "vector": pa.array(vectors.tolist(), pa.list_(pa.float32()))}))
+    queries = spark.createDataFrame(pa.table({"query_id": [f"q{i:02d}" for i in range(30)], "vector": pa.array(vectors[:30].tolist(), pa.list_(pa.float32()))}))
+    assert S.score_join(queries, points, k=5, broadcast_queries=0).count() == 30 * 5
+    found = S.similarity_search(queries, points, 5, 0.5, broadcast_queries=0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(query_id") == 1
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    scores = unit[:30] @ unit.T
+    want = {(f"q{q:02d}", r + 1): f"p{p:06d}" for q in range(30) for r, p in enumerate(np.lexsort((np.arange(len(unit)), -scores[q]))[:5])}
+    assert {(r.query_id, r["rank"]): r.point_id for r in found.collect()} == want
