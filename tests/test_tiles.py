@@ -143,3 +143,53 @@ def test_best_k_leave_wide_point_tiles_once_and_are_ranked_in_one_shuffle(spark)
     scores = unit[:30] @ unit.T
     want = {(f"q{q:02d}", r + 1): f"p{p:06d}" for q in range(30) for r, p in enumerate(np.lexsort((np.arange(len(unit)), -scores[q]))[:5])}
     assert {(r.query_id, r["rank"]): r.point_id for r in found.collect()} == want
+
+
+def mixed_points(spark):
+    """Vectors of two dimensions, equal ones, one id twice, and some without a direction."""
+    v = vectors(240)
+    v[200:230] = v[7]
+    rows = [(f"p{i:04d}", [float(x) for x in row]) for i, row in enumerate(v)] + [(f"s{i:04d}", [float(x) for x in row[:3]]) for i, row in enumerate(v[:60])]
+    rows += [("p0003", [float(x) for x in v[3]]), ("zero", [0.0] * 6), ("none", None), ("empty", []), ("nan", [float("nan")] * 6)]
+    return spark.createDataFrame(rows, "point_id string, vector array<float>").repartition(5)
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+@pytest.mark.parametrize("tiles", [1, 6])
+def test_tiles_of_vectors_tell_the_pairs_of_the_hash_tables(spark, monkeypatch, few, tiles):
+    points, made = mixed_points(spark), H.Tables(5, 4, 0.9)
+    key = lambda df: sorted((r.id_a, r.id_b, round(r.score, 9)) for r in df.collect())
+    monkeypatch.setattr(S, "pair_tiles", lambda n, cells, tile_rows: F.lit(10**6))  # so many that the buckets are shuffled
+    want = H.similar_pairs_lsh(points, 0.6, made=made, tile_rows=50)
+    assert "hashpartitioning(t#" in want._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "pair_tiles", lambda n, cells, tile_rows: F.lit(tiles))
+    monkeypatch.setattr(H, "_FEW_PAIRS", few)
+    got = H.similar_pairs_lsh(points, 0.6, made=made, tile_rows=50)
+    assert key(got) == key(want) and got.count() > 400
+
+
+def test_many_hash_tables_ship_a_vector_once_per_tile(spark):
+    """A low threshold asks for many tables: not every table gets its copy of each vector."""
+    points = points_of(spark, vectors(600))
+    found = H.similar_pairs_lsh(points, 0.35, recall=0.95, tile_rows=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i#" in plan and "hashpartitioning(t#" not in plan
+    scores = unit(vectors(600)) @ unit(vectors(600)).T
+    exact = {(f"p{a:04d}", f"p{b:04d}") for a, b in zip(*np.nonzero(np.triu(scores > 0.35, 1)))}
+    got = [(r.id_a, r.id_b) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) <= exact and len(got) >= 0.9 * len(exact)
+
+
+def test_exact_pairs_of_tiles_ship_a_vector_once_per_tile(spark, monkeypatch):
+    points = mixed_points(spark)
+    want = sorted((r.id_a, r.id_b, round(r.score, 9)) for r in S.similar_pairs(points, 0.6).collect())
+    monkeypatch.setattr(S, "_FLUSH_ROWS", 50)
+    found = S.similar_pairs(points, 0.6, broadcast_queries=0, tile_rows=40)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(i#") == 1
+    assert sorted((r.id_a, r.id_b, round(r.score, 9)) for r in found.collect()) == want and len(want) > 400
+
+
+def test_wide_pair_tiles_are_bounded_by_cells(spark):
+    tiles = lambda n, dim, rows=4096: spark.range(1).select(S.pair_tiles(F.lit(n), F.lit(n * dim), rows)).first()[0]
+    assert [tiles(600_000, 64), tiles(600_000, 512), tiles(600_000, 1024), tiles(600_000, 10**6), tiles(0, 64)] == [37, 37, 74, 147, 1]
+    assert [tiles(2000, 64, 200), tiles(50_000, 64, 200)] == [10, 16]
